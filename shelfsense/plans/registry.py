@@ -30,4 +30,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register themselves."""
-    from . import q_stock, q_safety  # noqa: F401
+    from . import q_stock, q_safety, q_text  # noqa: F401
