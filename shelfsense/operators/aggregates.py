@@ -200,10 +200,14 @@ def missing_summary(df: DataFrame, name: str) -> DataFrame:
 
 # ------------------------------------------------------------------ E20
 def score_percentiles(df: DataFrame, col: str, pcts: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles (linear interpolation), mean, population std, min, max."""
-    return df.agg(*[F.percentile(col, p).alias(f"p{int(round(p * 100))}") for p in pcts],
-                  F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"),
-                  F.min(col).alias("min"), F.max(col).alias("max"))
+    """Exact percentiles (linear interpolation, from one distributed sort), mean,
+    population std, min, max."""
+    from .listing import exact_quantiles
+    q = exact_quantiles(df, col, pcts)
+    q = q.toDF(*[f"p{int(round(p * 100))}" for p in pcts])
+    stats = df.agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"),
+                   F.min(col).alias("min"), F.max(col).alias("max"))
+    return q.crossJoin(stats)
 
 
 # ------------------------------------------------------------------ E21
