@@ -280,3 +280,38 @@ def trend_label(series: DataFrame, keys=("product_id",), x: str = "week_idx", va
                                .when(F.col("rel_slope") >= -moderate, "stable")
                                .when(F.col("rel_slope") >= -strong, "moderate decline")
                                .otherwise("strong decline")))
+
+
+# ------------------------------------------------------------------ I07
+def forecast_baseline(df: DataFrame, history: str = "history", steps: int = 7, growth: float = 0.03,
+                      method: str = "mean_growth", empty_mean: float = 100.0, out: str = "forecast") -> DataFrame:
+    """Model-free forecast: round(mean * (1 + growth * i), 1) for i = 0..steps-1,
+    or the last value repeated (``method='repeat_last'``)."""
+    h = F.col(history)
+    if method == "repeat_last":
+        fc = F.array_repeat(F.element_at(h, -1), steps)
+    else:
+        m = F.when(F.size(h) > 0, array_mean(h)).otherwise(F.lit(empty_mean))
+        fc = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)),
+                         lambda i: F.round(m * (1 + F.lit(growth) * i), 1))
+    return df.withColumn(out, fc)
+
+
+# ------------------------------------------------------------------ F05
+def forecast_feature_table(weekly: DataFrame, products: DataFrame, keys=("product_id",), week: str = "week_end",
+                           value: str = "units", price: str = "price", category_code: str = "category_code",
+                           price_scale: float = 10000.0, hash_mod: int = 1000) -> DataFrame:
+    """Training table: lags 1,2,4,8, rolling mean/std (4, 8; sample std), trend, calendar
+    features, season, Q4 holiday flag, scaled price, md5 product hash, encoded category.
+    One window spec (partition by product, order by week) serves every feature."""
+    from ..functions.text import hash_unit, season
+    k = _keys(keys)
+    f = lag_features(weekly, k, week, value, (1, 2, 4, 8), drop_incomplete=False)
+    f = rolling_features(f, k, week, value, (4, 8), std="samp")
+    f = trend_feature(f)
+    f = (f.withColumn("month", F.month(week)).withColumn("week_of_year", F.weekofyear(week))
+          .withColumn("quarter", F.quarter(week)).withColumn("season", season(F.month(week)))
+          .withColumn("is_holiday_season", (F.quarter(week) == 4).cast("int")))
+    p = products.select(*k, (F.col(price) / price_scale).alias("price_scaled"),
+                        hash_unit(F.col(k[0]), hash_mod).alias("product_hash"), category_code)
+    return f.join(p, k, "left").dropna(subset=["lag_1", "lag_2", "lag_4", "lag_8"])
