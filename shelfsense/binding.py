@@ -201,3 +201,18 @@ def rnd(expr: str, digits: int) -> str:
     form and a decimal makes both agree, ties included.
     """
     return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
+# ---------------------------------------------------------------- ingredients
+def ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue ingredient text: product p gets document p % count(documents)."""
+    p = products(spark, sf_dir).select("product_id", "product_name")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("ingredients"))
+    n = d.agg(F.count(F.lit(1)).alias("_nd"))
+    return (p.crossJoin(F.broadcast(n)).withColumn("doc_id", F.pmod(F.col("product_id"), F.col("_nd")))
+             .join(d, "doc_id").drop("_nd"))
+
+
+INGREDIENTS_SQL = """ingredients AS (
+  SELECT p_partkey AS product_id, p_name AS product_name, d.doc_id, d.text AS ingredients
+  FROM part JOIN documents d ON d.doc_id = p_partkey % (SELECT count(*) FROM documents))"""

@@ -63,7 +63,7 @@ def stock_decision(df: DataFrame, days: str = "days_until_stockout", status: str
     r3 = F.greatest(F.floor(am * 3), F.lit(50)).cast("long")
     r2 = F.greatest(F.floor(am * 2), F.lit(30)).cast("long")
     r15 = F.floor(am * 1.5).cast("long")
-    d1 = F.format_number(F.round(d, 1), 1)
+    d1 = F.round(d, 1).cast("string")
     d0 = F.round(d, 0).cast("long")
     rules = [
         (F.col(risk) == "high", "REMOVE FROM SALE",

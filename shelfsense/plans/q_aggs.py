@@ -14,16 +14,16 @@ from .registry import register
 from .sqlgen import clean_sql
 
 SCORED_SQL = b.REVIEWS_SQL + f""",
-scored AS (
+rscored AS (
   SELECT review_id, product_id, rating, review_date, source, review_body,
          CASE WHEN coalesce(review_body, '') = '' THEN 0.0
               ELSE least(greatest({_boost_sql(clean_sql("coalesce(review_body, '')"))}, -0.9), 0.9) END AS comp,
          {_vote_sql("lower(coalesce(review_body, ''))", L.SKIN_VOTE_CLASSES, 'normal')} AS skin_type
   FROM reviews),
-scored2 AS (
+rscored2 AS (
   SELECT *, {b.rnd('comp', 3)} AS sentiment_score,
          CASE WHEN comp > 0.15 THEN 'positive' WHEN comp < -0.15 THEN 'negative' ELSE 'neutral' END AS sentiment_label
-  FROM scored)"""
+  FROM rscored)"""
 
 
 def scored_reviews(spark, sf_dir):
@@ -34,7 +34,7 @@ def scored_reviews(spark, sf_dir):
 
 @register("review_agg", sql=b.with_ctes(b.PRODUCTS_SQL, SCORED_SQL) + f"""
 , g AS (SELECT product_id, count(*) AS review_count, {b.rnd('avg(rating)', 2)} AS avg_rating,
-               {b.rnd('avg(sentiment_score)', 3)} AS sentiment_avg FROM scored2 GROUP BY product_id)
+               {b.rnd('avg(sentiment_score)', 3)} AS sentiment_avg FROM rscored2 GROUP BY product_id)
 SELECT p.product_id, coalesce(g.review_count, 0) AS review_count, coalesce(g.avg_rating, 0.0) AS avg_rating,
        coalesce(g.sentiment_avg, 0.0) AS sentiment_avg
 FROM products p LEFT JOIN g USING (product_id)""")
@@ -60,7 +60,7 @@ def q_rating_distribution(spark, sf_dir):
 
 @register("sentiment_distribution", sql=b.with_ctes(SCORED_SQL) + f"""
 , g AS (SELECT product_id, count(*) AS n, count_if(sentiment_label = 'positive') AS n_positive,
-               count_if(sentiment_label = 'negative') AS n_negative FROM scored2 GROUP BY product_id)
+               count_if(sentiment_label = 'negative') AS n_negative FROM rscored2 GROUP BY product_id)
 SELECT product_id, n, n_positive, n_negative, n - n_positive - n_negative AS n_neutral,
        {b.rnd('100.0 * n_positive / n', 1)} AS pct_positive,
        {b.rnd('100.0 * (n - n_positive - n_negative) / n', 1)} AS pct_neutral,
@@ -71,7 +71,7 @@ def q_sentiment_distribution(spark, sf_dir):
 
 
 SKIN_BY_SOURCE_SQL = b.with_ctes(SCORED_SQL) + """
-, c AS (SELECT source, skin_type, count(*) AS n FROM scored2 WHERE skin_type IS NOT NULL GROUP BY source, skin_type),
+, c AS (SELECT source, skin_type, count(*) AS n FROM rscored2 WHERE skin_type IS NOT NULL GROUP BY source, skin_type),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, skin_type) AS rank FROM c)
 SELECT source, string_agg(skin_type || ' (' || CAST(n AS VARCHAR) || ')', ', ' ORDER BY rank) AS top_labels
 FROM r WHERE rank <= 3 GROUP BY source"""
@@ -87,7 +87,7 @@ SELECT source, count(*) AS review_count, {b.rnd('avg(rating)', 2)} AS avg_rating
        """ + ", ".join(f"count_if(round(rating, 0) = {s}) AS star_{s}" for s in range(1, 6)) + """,
        count_if(sentiment_label = 'positive') AS n_positive, count_if(sentiment_label = 'negative') AS n_negative,
        count_if(sentiment_label = 'neutral') AS n_neutral, count_if(rating IS NOT NULL) AS n_rated
-FROM scored2 GROUP BY source""")
+FROM rscored2 GROUP BY source""")
 def q_review_summary(spark, sf_dir):
     r = scored_reviews(spark, sf_dir)
     star = F.round(F.col("rating"), 0)
