@@ -30,4 +30,5 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register themselves."""
-    from . import q_aggs, q_clean, q_flagship, q_relational, q_safety, q_series, q_stock, q_text  # noqa: F401
+    from . import (q_aggs, q_clean, q_flagship, q_relational, q_safety, q_series, q_similarity,  # noqa: F401
+                   q_stock, q_text)

@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     # Broadcast only what is provably small; 32 MB is the planner's ceiling.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    # local mode runs every task in the driver JVM; ignored once a JVM is up
+    "spark.driver.memory": "16g",
     "spark.ui.showConsoleProgress": "false",
 }
 
