@@ -94,8 +94,8 @@ def safety_substring(df: DataFrame, text: str = "ingredients", lexicon: Lexicon
                      weight: float = 4.0, safe_at: float = 80, unsafe_below: float = 50) -> DataFrame:
     """100 - min(100, weight * sum of severities of contained terms) over the whole text."""
     lex = _lexicon_array(lexicon, longest_first=False)
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    found = F.filter(lex, lambda k: F.instr(t, k["kw"]) > 0)
+    df = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    found = F.filter(lex, lambda k: F.instr(F.col("_low"), k["kw"]) > 0)
     total = F.aggregate(found, F.lit(0), lambda a, k: a + k["sev"])
     score = F.greatest(F.lit(0.0), 100.0 - F.least(total * weight, F.lit(100.0)))
     return (df.withColumn("_found", found)
@@ -105,25 +105,27 @@ def safety_substring(df: DataFrame, text: str = "ingredients", lexicon: Lexicon
               .withColumn("toxicity", F.when(F.size("_found") > 0,
                           F.aggregate("_found", F.lit(0.0), lambda a, k: a + k["sev"]) / F.size("_found")))
               .withColumn("harmful_terms", F.transform("_found", lambda k: k["kw"]))
-              .drop("_found"))
+              .drop("_found", "_low"))
 
 
 # ------------------------------------------------------------------ H01
 def safety_hits(df: DataFrame, text: str = "ingredients", terms: Sequence[str] = L.HIT_TERMS,
                 out: str = "safety_hits") -> DataFrame:
     """max(0, 10 - number of terms contained in the lower-cased text)."""
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    t = F.col("_low")
     hits = sum((F.instr(t, F.lit(w)) > 0).cast("int") for w in terms)
-    return df.withColumn(out, F.greatest(F.lit(0), 10 - hits))
+    return (df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+              .withColumn(out, F.greatest(F.lit(0), 10 - hits)).drop("_low"))
 
 
 # ------------------------------------------------------------------ H05
 def safe_flags(df: DataFrame, text: str = "ingredients", terms: Sequence[str] = L.HIT_TERMS,
                preview: int = 120) -> DataFrame:
     """is_safe, flagged terms (in list order) and a 120-character preview."""
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    t = F.col("_low")
     flagged = F.filter(F.array(*[F.lit(w) for w in terms]), lambda w: F.instr(t, w) > 0)
-    return (df.withColumn("flagged_terms", flagged)
+    return (df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+              .withColumn("flagged_terms", flagged).drop("_low")
               .withColumn("is_safe", F.size("flagged_terms") == 0)
               .withColumn("preview", F.substring(F.coalesce(F.col(text), F.lit("")), 1, preview)))
 

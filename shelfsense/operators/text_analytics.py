@@ -27,8 +27,9 @@ def sentiment_lexicon(df: DataFrame, text: str, valence: Sequence[tuple[str, flo
     vmap = F.create_map(*[x for w, v in valence for x in (F.lit(w), F.lit(float(v)))])
     toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([a-z]+)"), 1)
     s = F.aggregate(toks, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(vmap, t), F.lit(0.0)))
-    comp = F.when(s == 0, F.lit(0.0)).otherwise(s / F.sqrt(s * s + alpha))
-    return (df.withColumn(out, comp)
+    sv = F.col("_valence_sum")
+    comp = F.when(sv == 0, F.lit(0.0)).otherwise(sv / F.sqrt(sv * sv + alpha))
+    return (df.withColumn("_valence_sum", s).withColumn(out, comp).drop("_valence_sum")
               .withColumn(f"{out}_label", F.when(F.col(out) >= threshold, "positive")
                           .when(F.col(out) <= -threshold, "negative").otherwise("neutral")))
 
@@ -42,7 +43,9 @@ def sentiment_boost(df: DataFrame, text: str, base: str | None = None, step: flo
     With a base compound the sum is clipped to [-1, 1]; without, to [-0.9, 0.9].
     Label at +/- threshold, score 3 dp, confidence = |score| 2 dp.
     """
-    clean = clean_text(F.coalesce(F.col(text), F.lit("")))
+    # cleaned text and compound are materialised as columns: every term test and
+    # every output column then reads them instead of re-running the regex chain
+    clean = F.col("_clean")
     manual = F.lit(0.0)
     for w in positive:
         manual = manual + F.when(F.instr(clean, F.lit(w)) > 0, step).otherwise(0.0)
@@ -54,10 +57,14 @@ def sentiment_boost(df: DataFrame, text: str, base: str | None = None, step: flo
         comp = F.least(F.greatest(manual, F.lit(-0.9)), F.lit(0.9))
     empty = F.coalesce(F.col(text), F.lit("")) == ""
     comp = F.when(empty, F.lit(0.0)).otherwise(comp)
-    return (df.withColumn("sentiment_score", F.round(comp, 3))
-              .withColumn("sentiment_label", F.when(comp > threshold, "positive")
-                          .when(comp < -threshold, "negative").otherwise("neutral"))
-              .withColumn("sentiment_confidence", F.round(F.abs(comp), 2)))
+    c = F.col("_comp")
+    return (df.withColumn("_clean", clean_text(F.coalesce(F.col(text), F.lit(""))))
+              .withColumn("_comp", comp)
+              .withColumn("sentiment_score", F.round(c, 3))
+              .withColumn("sentiment_label", F.when(c > threshold, "positive")
+                          .when(c < -threshold, "negative").otherwise("neutral"))
+              .withColumn("sentiment_confidence", F.round(F.abs(c), 2))
+              .drop("_clean", "_comp"))
 
 
 # ------------------------------------------------------------------ H11
@@ -69,7 +76,8 @@ def sentiment_aggregate(reviews: DataFrame, keys, text: str, raw_score: str | No
                         positive: Sequence[str] = POSITIVE_REVIEW_TERMS,
                         negative: Sequence[str] = NEGATIVE_REVIEW_TERMS) -> DataFrame:
     """Per product: review count, reviews with any positive / negative term, neutral rest."""
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    reviews = reviews.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    t = F.col("_low")
     pos = F.exists(F.array(*[F.lit(w) for w in positive]), lambda w: F.instr(t, w) > 0)
     neg = F.exists(F.array(*[F.lit(w) for w in negative]), lambda w: F.instr(t, w) > 0)
     aggs = [F.count(F.lit(1)).alias("review_count"), F.count_if(pos).alias("positive_count"),
@@ -157,7 +165,8 @@ def synonym_augment(df: DataFrame, id_col: str, text: str, factor: int = 2, seed
 # ------------------------------------------------------------------ H06
 def keyword_category(df: DataFrame, text: str, rules=L.CATEGORY_RULES, default: str = "default",
                      out: str = "category_detected") -> DataFrame:
-    return df.withColumn(out, first_match(F.coalesce(F.col(text), F.lit("")), rules, default))
+    return (df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+              .withColumn(out, first_match(F.col("_low"), rules, default, lower=False)).drop("_low"))
 
 
 def exact_partial_default(c: Column, mapping: dict[str, str], default: str) -> Column:
@@ -173,7 +182,8 @@ def term_vote(df: DataFrame, text: str, classes=L.SKIN_VOTE_CLASSES, default: st
               bonus_text: str | None = None, bonus: dict[str, float] | None = None,
               out: str = "skin_type") -> DataFrame:
     """Per class, the number of its terms contained; argmax in class order; default if 0."""
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    t = F.col("_low")
     scores = []
     for name, terms in classes:
         s = _contains_count(t, terms).cast("double")
@@ -185,7 +195,7 @@ def term_vote(df: DataFrame, text: str, classes=L.SKIN_VOTE_CLASSES, default: st
     label = None
     for name, s in scores:
         label = F.when(s == best, name) if label is None else label.when(s == best, name)
-    return df.withColumn(out, F.when(best > 0, label).otherwise(F.lit(default)))
+    return df.withColumn(out, F.when(best > 0, label).otherwise(F.lit(default))).drop("_low")
 
 
 # ------------------------------------------------------------------ H08
@@ -193,7 +203,8 @@ def skin_hybrid(df: DataFrame, text: str, model_pred: str = "ml_pred", model_con
                 classes=L.SKIN_BOOST_CLASSES, strong_step: float = 0.08, agree_bonus: float = 0.12,
                 cap: float = 0.95) -> DataFrame:
     """Keyword boosts combined with a classifier's prediction and confidence."""
-    clean = clean_text(F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("_clean", clean_text(F.coalesce(F.col(text), F.lit(""))))
+    clean = F.col("_clean")
     counts = [(n, _contains_count(clean, terms)) for n, terms in classes]
     top_n = F.greatest(*[c for _, c in counts])
     top = None
@@ -210,7 +221,7 @@ def skin_hybrid(df: DataFrame, text: str, model_pred: str = "ml_pred", model_con
     empty = F.coalesce(F.col(text), F.lit("")) == ""
     return (out.withColumn("skin_type", F.when(empty, "all_skin_types").otherwise(st))
                .withColumn("skin_confidence", F.round(F.when(empty, 0.5).otherwise(conf), 3))
-               .drop("_top", "_topn"))
+               .drop("_top", "_topn", "_clean"))
 
 
 # ------------------------------------------------------------------ B23
