@@ -153,7 +153,7 @@ def lexicon_match(texts: DataFrame, lexicon: DataFrame, id_col: str, text: str,
         grams = t.select(id_col, "_text", F.explode(F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.greatest(F.length("_text") - gram + 1, F.lit(1))),
             lambda i: F.substring("_text", i, gram)))).alias("_g"))
-        p_long = grams.join(longl, "_g").where(F.instr("_text", "_term") > 0).drop("_g")
+        p_long = grams.join(longl, "_g").where(F.instr(F.col("_text"), F.col("_term")) > 0).drop("_g")
         p_short = t.join(F.broadcast(short), F.instr(F.col("_text"), F.col("_term")) > 0)
         pairs = p_long.unionByName(p_short)
     return pairs.drop("_text").withColumnRenamed("_term", term)
