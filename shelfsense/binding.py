@@ -216,3 +216,16 @@ def ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
 INGREDIENTS_SQL = """ingredients AS (
   SELECT p_partkey AS product_id, p_name AS product_name, d.doc_id, d.text AS ingredients
   FROM part JOIN documents d ON d.doc_id = p_partkey % (SELECT count(*) FROM documents))"""
+
+
+def ingredient_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """product_id, product_name, text_id: which ingredient text each product has."""
+    p = products(spark, sf_dir).select("product_id", "product_name")
+    n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("_nd"))
+    return (p.crossJoin(F.broadcast(n)).withColumn("text_id", F.pmod(F.col("product_id"), F.col("_nd")))
+             .drop("_nd"))
+
+
+def ingredient_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"),
+                                                    F.col("text").alias("ingredients"))

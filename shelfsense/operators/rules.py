@@ -185,9 +185,11 @@ def restock_recommendation(df: DataFrame, forecast: str = "forecast",
 def verification_status(df: DataFrame, ingredients: str = "ingredients", safety: str = "safety_score",
                         skin: str = "skin_type", reviews: str = "review_count",
                         rating: str = "avg_rating", sales: str = "total_sales",
-                        risk: str = "risk_level", out: str = "verification_status") -> DataFrame:
+                        risk: str = "risk_level", out: str = "verification_status",
+                        ingredients_is_length: bool = False) -> DataFrame:
+    ing_len = F.col(ingredients) if ingredients_is_length else F.length(F.col(ingredients))
     checks = [
-        F.coalesce(F.length(F.col(ingredients)) > 10, F.lit(False)),
+        F.coalesce(ing_len > 10, F.lit(False)),
         F.coalesce(F.col(safety) >= 60, F.lit(False)),
         F.coalesce((F.col(skin).isNotNull()) & (F.col(skin) != ""), F.lit(False)),
         F.coalesce(F.col(reviews) >= 3, F.lit(False)),

@@ -55,12 +55,43 @@ def review_block(reviews: DataFrame, body: str = "review_body") -> DataFrame:
     return ag.review_agg(r, keys=["product_id"])
 
 
+def text_blocks(ingredients: DataFrame, texts: DataFrame | None, lexicon) -> DataFrame:
+    """Safety and skin type per product, one row per product_id.
+
+    When ``texts`` (text_id, ingredients) is given and ``ingredients`` maps
+    product_id -> text_id, both text scorers run in one pass per distinct text
+    and the result is joined to the products once; a text shared by many
+    products is scored once."""
+    # the text itself does not travel past the scorers: only its length is kept
+    length = F.length(F.coalesce(F.col("ingredients"), F.lit(""))).alias("ingredients_len")
+    cols = ["ingredients_len", "safety_score", "safety_status", "harmful_count", "harmful_ingredients", "risk_level",
+            "skin_type", "skin_confidence"]
+    if texts is None:
+        prod = ingredients.select("product_id", "product_name", "ingredients")
+        return skin_block(safety_block(prod, lexicon=lexicon)).withColumn("ingredients_len", length) \
+            .select("product_id", *cols)
+    both = skin_block(safety_block(texts.select("text_id", "ingredients",
+                                                F.lit(None).cast("string").alias("product_name")), lexicon=lexicon))
+    both = both.withColumn("ingredients_len", length)
+    both = both.select("text_id", *cols, (F.col("ingredients_len") > 0).alias("_has_text"))
+    prod = ingredients.select("product_id", "product_name", "text_id")
+    j = prod.join(both, "text_id", "left")
+    # products whose text is empty fall back to their name (short strings, scored per product)
+    j = skin_block(j.withColumnRenamed("skin_type", "_ts").withColumnRenamed("skin_confidence", "_tc")
+                    .withColumn("_name_only", F.lit(None).cast("string")), text="_name_only")
+    return j.select("product_id", *[c for c in cols if c not in ("skin_type", "skin_confidence")],
+                    F.when(F.col("_has_text"), F.col("_ts")).otherwise(F.col("skin_type")).alias("skin_type"),
+                    F.when(F.col("_has_text"), F.col("_tc")).otherwise(F.col("skin_confidence"))
+                     .alias("skin_confidence"))
+
+
 def full_product_analysis(tenant_products: DataFrame, sales: DataFrame, inventory: DataFrame,
                           ingredients: DataFrame, reviews: DataFrame, as_of: _dt.date,
-                          lexicon=L.HARMFUL_TERMS) -> DataFrame:
+                          lexicon=L.HARMFUL_TERMS, texts: DataFrame | None = None) -> DataFrame:
     """One analysis row per (tenant, product).
 
-    ``ingredients``: product_id, product_name, ingredients (catalogue level).
+    ``ingredients``: product_id, product_name, ingredients (catalogue level), or
+    product_id, product_name, text_id together with ``texts`` (text_id, ingredients).
     ``inventory``: dealer_id, product_id, current_stock, lead_time_days
     (missing rows default to 50 units / 14 days).
     """
@@ -68,21 +99,16 @@ def full_product_analysis(tenant_products: DataFrame, sales: DataFrame, inventor
     inv = inventory.select(*KEYS, "current_stock", "lead_time_days")
     st = rules.stock_status(dem.join(inv, KEYS, "left")
                                .fillna({"current_stock": 50.0, "lead_time_days": 14.0}))
-    prod = ingredients.select("product_id", "product_name", "ingredients")
-    saf = safety_block(prod, lexicon=lexicon).select(
-        "product_id", "ingredients", "safety_score", "safety_status", "harmful_count", "harmful_ingredients",
-        "risk_level")
-    skin = skin_block(prod).select("product_id", "skin_type", "skin_confidence")
+    txt = text_blocks(ingredients, texts, lexicon)
     rev = review_block(reviews)
     out = (tenant_products.select(*KEYS, "product_name", "category", "brand", "price")
            .join(st, KEYS, "left")
-           .join(saf, "product_id", "left")
-           .join(skin, "product_id", "left")
+           .join(txt, "product_id", "left")
            .join(rev, "product_id", "left")
            .fillna({"safety_score": 100.0, "safety_status": "Safe", "risk_level": "none", "harmful_count": 0,
                     "review_count": 0, "avg_rating": 0.0, "sentiment_avg": 0.0}))
     out = rules.stock_decision(out)
-    out = rules.verification_status(out)
+    out = rules.verification_status(out, ingredients="ingredients_len", ingredients_is_length=True)
     return out
 
 

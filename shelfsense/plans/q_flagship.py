@@ -129,7 +129,8 @@ OUT_COLS = ["dealer_id", "product_id", "forecast_trend", "stock_status", "days_u
 def analysis_frame(spark, sf_dir):
     return pa.full_product_analysis(
         b.tenant_products(spark, sf_dir), b.sales(spark, sf_dir), b.inventory(spark, sf_dir),
-        b.ingredients(spark, sf_dir), b.reviews(spark, sf_dir), b.AS_OF, lexicon=LEX)
+        b.ingredient_links(spark, sf_dir), b.reviews(spark, sf_dir), b.AS_OF, lexicon=LEX,
+        texts=b.ingredient_texts(spark, sf_dir))
 
 
 @register("product_analysis", sql=ANALYSIS_SQL + f"""
