@@ -31,5 +31,5 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so its queries register themselves."""
     from . import (q_aggs, q_clean, q_flagship, q_ml, q_relational, q_safety, q_series, q_similarity,  # noqa: F401
-                   q_sources, q_streaming,
+                   q_retail, q_sources, q_streaming,
                    q_stock, q_text)
