@@ -71,16 +71,21 @@ def impute(df: DataFrame, numeric: Sequence[str] | None = None, strings: Sequenc
            fill_text: str = "unknown") -> DataFrame:
     """numeric NULL -> exact column median; string NULL -> 'unknown'.
 
-    The medians are one aggregate row (``percentile`` keeps a value->count map
-    per column, bounded by the distinct values) joined back by broadcast.
+    Each median is an exact order statistic from a distributed sort
+    (:func:`listing.exact_quantiles`); the medians form one row joined back by
+    broadcast.
     """
+    from .listing import exact_quantiles
     num = numeric if numeric is not None else [f.name for f in df.schema.fields
                                                if isinstance(f.dataType, T.NumericType)]
     st = strings if strings is not None else [f.name for f in df.schema.fields
                                               if isinstance(f.dataType, T.StringType)]
     out = df
     if num:
-        med = df.agg(*[F.median(c).alias(f"_med_{c}") for c in num])
+        med = None
+        for c in num:
+            m = exact_quantiles(df, c, [0.5]).toDF(f"_med_{c}")
+            med = m if med is None else med.crossJoin(m)
         out = out.crossJoin(F.broadcast(med)).withColumns(
             {c: F.coalesce(F.col(c), F.col(f"_med_{c}").cast(df.schema[c].dataType)) for c in num}
         ).drop(*[f"_med_{c}" for c in num])

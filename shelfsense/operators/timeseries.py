@@ -260,12 +260,21 @@ def chronological_split(series: DataFrame, keys=("product_id",), order: str = "w
 
 def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 42,
                      test_frac: float = 0.2, out: str = "split") -> DataFrame:
-    """Seeded 80/20 per class: rows ranked by md5(id || seed) inside their class."""
+    """Seeded 80/20 per class: rows ranked by md5(id || seed) inside their class.
+
+    A class can hold half of all rows, so the in-class rank comes from one
+    distributed global index over (class, hash) minus the class's start offset
+    (a per-class table), not from a window partitioned by class."""
+    from .ordering import global_index
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
-    w = Window.partitionBy(label).orderBy(h, id_col)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    n_test = F.ceil(n * test_frac)
-    return df.withColumn(out, F.when(F.row_number().over(w) <= n_test, "test").otherwise("train"))
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    cw = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)  # one row per class
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_nc").over(cw), F.lit(0)))
+    idx = global_index(df.withColumn("_h", h), [F.col(label), F.col("_h"), F.col(id_col)], "_g")
+    j = idx.join(F.broadcast(starts), label)
+    pos = F.col("_g") - F.col("_start") + 1
+    return (j.withColumn(out, F.when(pos <= F.ceil(F.col("_nc") * test_frac), "test").otherwise("train"))
+             .drop("_h", "_g", "_nc", "_start"))
 
 
 # ------------------------------------------------------------------ F13
