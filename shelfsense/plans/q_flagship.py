@@ -17,8 +17,8 @@ from . import product_analysis as pa
 from .q_aggs import SCORED_SQL
 from .q_safety import ITEMS_SQL, LEX
 from .q_stock import STOCK_SQL
-from .registry import register
-from .sqlgen import clean_sql, contains_count_sql, q
+from .registry import ORACLES, register
+from .sqlgen import clean_sql, contains_count_sql, md5_mod_sql, q
 
 _CLEAN = clean_sql("skin_text")
 _CNTS = [(n, contains_count_sql("clean", terms)) for n, terms in L.SKIN_BOOST_CLASSES]
@@ -261,29 +261,47 @@ def q_notifications(spark, sf_dir):
 
 
 def notifications_table(spark, sf_dir):
-    """Materialisable notifications table: generated alerts with ids, read flags and times."""
+    """Materialisable notifications table: generated alerts with stable md5-based ids,
+    read flags and creation times derived from the id."""
+    from ..functions.text import md5_mod
     n = al.notifications(analysis_frame(spark, sf_dir))
-    nid = F.xxhash64("dealer_id", "product_id", "title")
+    nid = md5_mod(F.concat_ws("|", F.col("dealer_id").cast("string"), F.col("product_id").cast("string"),
+                              F.col("title")), 2147483647)
     base = _dt.datetime(2001, 11, 4)
     return (n.withColumn("notif_id", nid)
-             .withColumn("is_read", F.pmod(nid, F.lit(3)) == 0)
-             .withColumn("created_at", F.lit(base) - F.make_dt_interval(F.pmod(nid, F.lit(14)).cast("int"))))
+             .withColumn("is_read", F.pmod(F.col("notif_id"), F.lit(3)) == 0)
+             .withColumn("created_at", F.lit(base) - F.make_dt_interval(F.pmod(F.col("notif_id"), F.lit(14)).cast("int"))))
 
 
-@register("notification_feed", sql=None)
+NOTIF_TABLE_SQL = f"""WITH nb AS ({ORACLES["notifications"]}),
+nt AS (SELECT *, {md5_mod_sql("CAST(dealer_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR) || '|' || title", 2147483647)}
+                   AS notif_id FROM nb),
+ntab AS (SELECT *, notif_id % 3 = 0 AS is_read,
+                TIMESTAMP '2001-11-04 00:00:00' - to_days(CAST(notif_id % 14 AS INTEGER)) AS created_at FROM nt)"""
+
+
+@register("notification_feed", sql=NOTIF_TABLE_SQL + """
+SELECT * FROM (SELECT dealer_id, notif_id, notif_type, severity,
+  CAST(row_number() OVER (PARTITION BY dealer_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1
+       WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, notif_id DESC) AS INTEGER) AS feed_rank
+  FROM ntab WHERE NOT is_read) WHERE feed_rank <= 50""")
 def q_notification_feed(spark, sf_dir):
     f = al.notification_feed(notifications_table(spark, sf_dir))
     return f.select("dealer_id", "notif_id", "notif_type", "severity", "feed_rank")
 
 
-@register("notification_dedup", sql=None)
+@register("notification_dedup", sql=NOTIF_TABLE_SQL + """
+SELECT dealer_id, product_id, title FROM nb
+WHERE (dealer_id, product_id, title) NOT IN (SELECT (dealer_id, product_id, title) FROM ntab WHERE NOT is_read)""")
 def q_notification_dedup(spark, sf_dir):
     existing = notifications_table(spark, sf_dir)
     new = al.notifications(analysis_frame(spark, sf_dir))
     return al.notification_dedup(new, existing).select("dealer_id", "product_id", "title")
 
 
-@register("notification_retention", sql=None)
+@register("notification_retention", sql=NOTIF_TABLE_SQL + """
+SELECT dealer_id, notif_id, is_read FROM ntab
+WHERE NOT (is_read AND created_at < TIMESTAMP '2001-10-28 00:00:00')""")
 def q_notification_retention(spark, sf_dir):
     r = al.notification_retention(notifications_table(spark, sf_dir), _dt.datetime(2001, 11, 4))
     return r.select("dealer_id", "notif_id", "is_read")
@@ -315,7 +333,18 @@ def q_alert_feed(spark, sf_dir):
     return f.select("dealer_id", "product_id", "alert_type", "priority", "feed_rank")
 
 
-@register("restock_update", sql=None)
+@register("restock_update", sql=ANALYSIS_SQL + f"""
+, u AS (SELECT dealer_id, product_id, CASE WHEN category = 'PROMO' THEN 500.0 ELSE current_stock END AS current_stock,
+               CASE WHEN category = 'PROMO' THEN 500.0 / (least(greatest(avg_raw, 1.0), 5000.0) / 30.0) END AS d,
+               category, days_until_stockout AS old_days, stock_status AS old_status, stockout_risk AS old_risk
+        FROM final)
+SELECT dealer_id, product_id, current_stock,
+       CASE WHEN category = 'PROMO' THEN {b.rnd('d', 1)} ELSE old_days END AS days_until_stockout,
+       CASE WHEN category <> 'PROMO' THEN old_status WHEN d < 7 THEN 'understock' WHEN d < 30 THEN 'understock'
+            WHEN d > 180 THEN 'overstock' WHEN d > 90 THEN 'watch' ELSE 'normal' END AS stock_status,
+       CASE WHEN category <> 'PROMO' THEN old_risk WHEN d < 7 THEN 'HIGH' WHEN d < 30 THEN 'MEDIUM' ELSE 'LOW' END
+         AS stockout_risk
+FROM u""")
 def q_restock_update(spark, sf_dir):
     a = analysis_frame(spark, sf_dir)
     # every product of a given category is restocked to 500 units
