@@ -65,14 +65,27 @@ def corpus_frame(spark, sf_dir):
     return sim.weighted_corpus(p)
 
 
-def weights_frame(spark, sf_dir):
-    return sim.tfidf(corpus_frame(spark, sf_dir), "product_id", "corpus")
+def weights_frame(spark, sf_dir, materialize: bool = True):
+    """TF-IDF weights and vocabulary.
+
+    The similarity plans read the weights 4-6 times (prefix, probe, suffix,
+    scoring); with ``materialize`` the vocabulary and then the weights are
+    written once to the shared checkpoint folder (reliable checkpoints), so
+    every reader uses one computed copy that survives executor loss."""
+    corpus = corpus_frame(spark, sf_dir)
+    w, vocab = sim.tfidf(corpus, "product_id", "corpus")
+    if not materialize:
+        return w, vocab
+    from ..session import cut_lineage
+    vocab = cut_lineage(vocab)
+    w = sim.query_vectors(corpus, "product_id", "corpus", vocab)  # same weights, from the stored vocabulary
+    return cut_lineage(w), vocab
 
 
 @register("tfidf", sql=b.with_ctes(TFIDF_SQL) + f"""
 SELECT doc_id, term, {b.rnd('weight', 6)} AS weight FROM wt""")
 def q_tfidf(spark, sf_dir):
-    w, _ = weights_frame(spark, sf_dir)
+    w, _ = weights_frame(spark, sf_dir, materialize=False)
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -86,7 +99,7 @@ SELECT doc_id, term, CAST(rank AS INTEGER) AS rank, {b.rnd('weight', 6)} AS weig
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS rank FROM wt)
 WHERE rank <= 10""")
 def q_term_weights(spark, sf_dir):
-    w, _ = weights_frame(spark, sf_dir)
+    w, _ = weights_frame(spark, sf_dir, materialize=False)
     t = sim.term_weights(w, 10)
     return t.select("doc_id", "term", "rank", F.round("weight", 6).alias("weight"))
 
