@@ -2,20 +2,24 @@
 
 A global ``row_number() OVER (ORDER BY ...)`` without PARTITION BY runs in a
 single task.  :func:`global_index` gives the same 0-based position with a
-distributed sort instead: the data is range-partitioned and sorted by
-``orderBy``; each row's position inside its partition comes from
-``monotonically_increasing_id`` (partition id in the upper bits), and the
-per-partition row counts -- one row per partition, so bounded by the
-partition count, not the data -- are turned into offsets and broadcast back.
+distributed sort instead.  The sorted rows are materialised once, by a
+reliable checkpoint in the shared folder, and both the position inside a
+partition and the per-partition row counts are read from that one copy.  They
+must not come from two evaluations of the sort: column pruning gives the two
+different row widths, adaptive coalescing then numbers their partitions
+differently, and the offsets no longer fit the rows.  The offsets are one row
+per partition, so their size follows the partition count, not the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def global_index(df: DataFrame, order: Sequence[Column | str], out: str = "idx") -> DataFrame:
     """Add ``out`` = 0-based position of the row in the total order ``order``.
@@ -23,15 +27,19 @@ def global_index(df: DataFrame, order: Sequence[Column | str], out: str = "idx")
     ``order`` must be a total order (add a unique tie-breaker) for the result
     to be deterministic.
     """
-    sorted_df = df.orderBy(*order)
-    tagged = (sorted_df.withColumn("_pid", F.spark_partition_id())
-                       .withColumn("_mid", F.monotonically_increasing_id()))
+    spark = df.sparkSession
+    in_order = cut_lineage(df.orderBy(*order))
+    tagged = (in_order.withColumn("_pid", F.spark_partition_id())
+                      .withColumn("_mid", F.monotonically_increasing_id()))
     # position inside the partition = mid - (pid << 33)
     tagged = tagged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", "_off")
-    return (tagged.join(F.broadcast(offsets), "_pid")
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()
+    offsets, total = [], 0
+    for pid, n in sorted((r["_pid"], r["_n"]) for r in counts):
+        offsets.append((pid, total))
+        total += n
+    off = spark.createDataFrame(offsets, "_pid int, _off long")
+    return (tagged.join(F.broadcast(off), "_pid", "left")
                   .withColumn(out, F.col("_off") + F.col("_pos"))
                   .drop("_pid", "_mid", "_pos", "_off"))
 

@@ -9,6 +9,7 @@ only defaulted where unset, so a cluster's own configuration always wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,14 +48,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` (or an already set SparkContext checkpoint dir)
-    is used as is.  Only when neither is set (local tests) a scratch folder
-    is created, under ``$SHELFSENSE_SCRATCH`` or the system temp folder.
+    is used as is.  Only when neither is set and the master is local (tests)
+    a scratch folder is created, under ``$SHELFSENSE_SCRATCH`` or the system
+    temp folder; on any other master a missing setting is an error, because a
+    machine's own folder is not seen by the other machines.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf_dir:
         base = os.environ.get("SHELFSENSE_SCRATCH") or tempfile.gettempdir()
         conf_dir = tempfile.mkdtemp(prefix="shelfsense-ckpt-", dir=base)
