@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -27,18 +27,14 @@ def global_index(df: DataFrame, order: Sequence[Column | str], out: str = "idx")
     ``order`` must be a total order (add a unique tie-breaker) for the result
     to be deterministic.
     """
-    spark = df.sparkSession
     in_order = cut_lineage(df.orderBy(*order))
     tagged = (in_order.withColumn("_pid", F.spark_partition_id())
                       .withColumn("_mid", F.monotonically_increasing_id()))
     # position inside the partition = mid - (pid << 33)
     tagged = tagged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()
-    offsets, total = [], 0
-    for pid, n in sorted((r["_pid"], r["_n"]) for r in counts):
-        offsets.append((pid, total))
-        total += n
-    off = spark.createDataFrame(offsets, "_pid int, _off long")
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", "_off")
     return (tagged.join(F.broadcast(off), "_pid", "left")
                   .withColumn(out, F.col("_off") + F.col("_pos"))
                   .drop("_pid", "_mid", "_pos", "_off"))
