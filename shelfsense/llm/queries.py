@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from ..session import ensure_checkpoint_dir
+from . import fingerprints, near_dedup, secret_scan, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,8 +27,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of this name under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query("op1_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, similarity 0.85."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs, near_dedup.Params(ngram=3, percent=85))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by a ledger of blobs that begins empty."""
+    return secret_scan.report(table(spark, sf_dir, "documents"), scratch(spark, "ledger"))
+
+
+@query("op7_url_lists", url_lists.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List entries in force on the day each page was fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_lists.evaluate(url_lists.captures_of(pages), url_lists.entries_of(pages))
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and of an edit of each."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
