@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import fingerprints, near_dedup, secret_scan, url_lists
+from . import fingerprints, near_dedup, page_text, secret_scan, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and of an edit of each."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_warc")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    manifest = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch(spark, "warc"))
+    return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_page_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return page_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
