@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import fingerprints, near_dedup, page_text, secret_scan, url_lists, warc
+from . import fingerprints, language_model, near_dedup, page_text, secret_scan, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return page_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op10_language_model")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents, learnt from six sevenths of them."""
+    return language_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"))

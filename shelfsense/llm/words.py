@@ -85,13 +85,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
-def hash_words(data: np.ndarray, text_at: np.ndarray, first: int = 0) -> Block:
+#: separators that leave runs of letters and digits (and all bytes beyond ASCII)
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def hash_words(data: np.ndarray, text_at: np.ndarray, first: int = 0, separators: np.ndarray = _SPACE) -> Block:
     """Split and hash the words of the texts that ``text_at`` marks out in ``data``."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Block(first, np.zeros(0, np.uint64), np.zeros(len(text_at), np.int64), none, none, data, text_at)
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     fresh = np.empty(n + 1, bool)     # a text begins here, so no word runs on
     fresh[:] = False
     fresh[text_at[:-1]] = True
@@ -112,14 +116,14 @@ def hash_words(data: np.ndarray, text_at: np.ndarray, first: int = 0) -> Block:
     return Block(first, words, at, start, end, data, text_at)
 
 
-def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array, size: int = BLOCK_BYTES, separators: np.ndarray = _SPACE) -> Iterator[Block]:
     """The texts of a column in blocks of about ``size`` bytes, in order; every row is in one block."""
     data, at = buffers(column)
     i, n = 0, len(at) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         j = min(j, n)
-        yield hash_words(data[at[i]:at[j]], at[i:j + 1] - at[i], i)
+        yield hash_words(data[at[i]:at[j]], at[i:j + 1] - at[i], i, separators)
         i = j
 
 
