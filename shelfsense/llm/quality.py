@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+PREFIXES = (4, 5, 6)
 STYLE = 128 + 8
 META = 256
 
@@ -45,12 +46,16 @@ class Params:
     rounds: int = 3
     grow: float = 0.1         # share of the pool that each view hands over in a round
     words: int = 400          # words with a weight in the text view
-    steps: int = 250
+    steps: int = 400
     limit: float = 0.5        # rejected from this probability on
 
 
-def text_features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, style (texts x STYLE), word buckets, where each text's begin) for blocks of texts; buckets are distinct in a text."""
+def text_features(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, style (texts x STYLE), word buckets, where each text's begin) for blocks of texts.
+
+    The buckets are those of the words and of their first bytes, distinct in a
+    text; with ``wanted`` only the buckets marked there.
+    """
     for b in W.blocks(column, separators=W.NOT_ALNUM):
         n, size = len(b), np.diff(b.text_at)
         text = np.repeat(np.arange(n), size)
@@ -75,12 +80,13 @@ def text_features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarra
         style[:, 133] = (np.diff(pairs_at) - pairs_distinct) / each > 0.25
         style[:, 134] = style[:, 131] > 0.1
         style[:, 135] = count < 5
-        bucket = (distinct >> np.uint64(48)).astype(np.int64)
-        # two words of a text in one bucket: keep one
-        owner = np.repeat(np.arange(n), np.diff(at))
-        new = np.ones(len(bucket), bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])   # the words are sorted by hash, so by bucket
-        yield b.first, style, bucket[new], np.searchsorted(owner[new], np.arange(n + 1))
+        bucket = np.stack([b.words, *(W.prefixes(b, k) for k in PREFIXES)], axis=1) >> np.uint64(46)
+        bucket, owner = bucket.astype(np.int64).ravel(), np.repeat(np.arange(n), count * (1 + len(PREFIXES)))
+        if wanted is not None:
+            here = wanted[bucket]
+            bucket, owner = bucket[here], owner[here]
+        both = np.unique(owner * BUCKETS + bucket)
+        yield b.first, style, both % BUCKETS, np.searchsorted(both // BUCKETS, np.arange(n + 1))
 
 
 def meta_features(batch: pa.RecordBatch) -> np.ndarray:
@@ -129,29 +135,30 @@ def balance(y: np.ndarray) -> np.ndarray:
 class Sample:
     """The collected sample: matrices of both views."""
 
-    def __init__(self, rows: list):
-        self.style = np.array([r["style"] for r in rows], np.float32).reshape(len(rows), STYLE)
-        self.words = [np.asarray(r["words"], np.int64) for r in rows]
-        self.meta = np.zeros((len(rows), META), np.float32)
-        for i, r in enumerate(rows):
-            self.meta[i, r["meta"]] = 1
-        label = lambda c: np.array([np.nan if r[c] is None else r[c] for r in rows], np.float32)
-        self.bad = 1 - label("quality")
-        self.toxic = label("toxic")
-        self.turn = np.array([r["turn"] for r in rows], np.int64)
+    def __init__(self, table: pa.Table):
+        n = table.num_rows
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.style = flat("style").astype(np.float32).reshape(n, STYLE)
+        self.meta = np.zeros((n, META), np.float32)
+        self.meta[np.arange(n)[:, None], flat("meta").reshape(n, 4)] = 1
+        self.bucket = flat("words").astype(np.int64)
+        self.row = np.repeat(np.arange(n), table.column("words").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
+        label = lambda c: table.column(c).cast(pa.float32()).to_numpy()  # noqa: E731  nan for null
+        self.bad, self.toxic = 1 - label("quality"), label("toxic")
+        self.turn = table.column("turn").to_numpy()
 
 
 def choose_words(s: Sample, rows: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Buckets that tell the labels apart best, by the log-odds over its standard error."""
-    place = np.concatenate([s.words[i] for i in rows]) if len(rows) else np.zeros(0, np.int64)
-    of = np.repeat(y, [len(s.words[i]) for i in rows])
-    pos, neg = (np.bincount(place[of == k], minlength=BUCKETS) for k in (1, 0))
-    n_pos, n_neg = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    z[pos + neg < 5] = 0
-    best = np.argsort(-z, kind="stable")[:most]
-    return best[z[best] > 4]
+    """Buckets that tell the labels apart best, by the likelihood ratio of their counts; at most ``most``."""
+    of = np.full(len(s.style), -1)
+    of[rows] = y > 0.5
+    pos, neg = (np.bincount(s.bucket[of[s.row] == k], minlength=BUCKETS).astype(float) for k in (1, 0))
+    share = float((y > 0.5).mean())
+    part = lambda seen, n: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(n, 1e-9)), 0)
+    ratio = 2 * (part(pos, (pos + neg) * share) + part(neg, (pos + neg) * (1 - share)))
+    ratio[pos + neg < 5] = 0
+    best = np.argsort(-ratio, kind="stable")[:most]
+    return best[ratio[best] > 25]
 
 
 class Target:
@@ -174,9 +181,8 @@ class Target:
         column[self.words] = np.arange(len(self.words))
         text = np.zeros((len(y), STYLE + len(self.words)), np.float32)
         text[:, :STYLE] = np.clip((s.style - self.mean) / self.scale, -6, 6)
-        for i, w in enumerate(s.words):
-            hit = column[w]
-            text[i, STYLE + hit[hit >= 0]] = 1
+        hit = column[s.bucket]
+        text[s.row[hit >= 0], STYLE + hit[hit >= 0]] = 1
         views = [text, s.meta]
         rows, labels = [train, train], [y[train], y[train]]
         weight = balance(y[train])
@@ -238,10 +244,18 @@ def fit_targets(docs: DataFrame, labels: DataFrame, p: Params) -> dict[str, Targ
 
     table = rows.select("text", "lang", "source", "n_chars", "quality", "toxic", "turn").mapInArrow(
         run, "quality int, toxic int, turn long, style array<float>, words array<int>, meta array<int>").toArrow()
-    sample = Sample(table.to_pylist())
+    sample = Sample(table)
     return {"bad": Target(sample, sample.bad, p), "toxic": Target(sample, sample.toxic, p)}
 
 
+def wanted_buckets(targets: dict[str, Target]) -> np.ndarray:
+    out = np.zeros(BUCKETS, bool)
+    for t in targets.values():
+        if t.constant is None:
+            out |= t.table != 0
+    return out
+
+
 def tidy(docs: DataFrame) -> DataFrame:
     """The columns the views read; those that are missing are null."""
     have = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
@@ -254,9 +268,10 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params(), fitted_on: D
     sent = docs.sparkSession.sparkContext.broadcast(targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = wanted_buckets(sent.value)
         for batch in batches:
             meta = meta_features(batch)
-            for first, style, buckets, at in text_features(batch.column("text")):
+            for first, style, buckets, at in text_features(batch.column("text"), wanted):
                 n = len(style)
                 junk, toxic = (sent.value[k].probability(style, buckets, at, meta[first:first + n]).astype(np.float64) for k in ("bad", "toxic"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array((1 - junk) * (1 - toxic)), pa.array(junk), pa.array(toxic),
@@ -276,7 +291,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, p: Params = Params()) -
         import pandas as pd
         batch = pa.RecordBatch.from_arrays([pa.array(x, t, from_pandas=True) for x, t in ((text, pa.string()), (lang, pa.string()), (source, pa.string()), (n_chars, pa.int64()))], names=views.columns)
         meta, out = meta_features(batch), np.ones(batch.num_rows, bool)
-        for first, style, buckets, at in text_features(batch.column("text")):
+        for first, style, buckets, at in text_features(batch.column("text"), wanted_buckets(sent.value)):
             rows = slice(first, first + len(style))
             for target in sent.value.values():
                 out[rows] &= target.probability(style, buckets, at, meta[rows]) < p.limit

@@ -69,6 +69,7 @@ class Block:
     end: np.ndarray      # its exclusive end
     data: np.ndarray     # uint8, the texts' bytes
     text_at: np.ndarray  # int64, n_texts + 1: where each text begins in ``data``
+    total: np.ndarray    # running sum that hashes come from
 
     def __len__(self) -> int:
         return len(self.at) - 1
@@ -94,7 +95,7 @@ def hash_words(data: np.ndarray, text_at: np.ndarray, first: int = 0, separators
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Block(first, np.zeros(0, np.uint64), np.zeros(len(text_at), np.int64), none, none, data, text_at)
+        return Block(first, np.zeros(0, np.uint64), np.zeros(len(text_at), np.int64), none, none, data, text_at, np.zeros(1, np.uint64))
     inside = ~separators[data]
     fresh = np.empty(n + 1, bool)     # a text begins here, so no word runs on
     fresh[:] = False
@@ -113,7 +114,7 @@ def hash_words(data: np.ndarray, text_at: np.ndarray, first: int = 0, separators
     np.cumsum(_CODE[data] * _power("up", _BASE, n), out=total[1:])
     words = mix((total[end] - total[start]) * _power("down", _BASE_INV, n)[start])
     at = np.searchsorted(start, text_at)
-    return Block(first, words, at, start, end, data, text_at)
+    return Block(first, words, at, start, end, data, text_at, total)
 
 
 def blocks(column: pa.Array, size: int = BLOCK_BYTES, separators: np.ndarray = _SPACE) -> Iterator[Block]:
@@ -127,6 +128,12 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES, separators: np.ndarray = _
         i = j
 
 
+def prefixes(block: Block, n: int) -> np.ndarray:
+    """Hash of the first ``n`` bytes of each word (of the whole word if it is shorter)."""
+    end = np.minimum(block.start + n, block.end)
+    return mix(((block.total[end] - block.total[block.start]) * _power("down", _BASE_INV, len(block.data))[block.start]) ^ SALT[200 + n])
+
+
 def ngrams(block: Block, n: int, whole_if_short: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of ``n`` words inside one text, and where each text's runs begin.
 
