@@ -36,7 +36,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, similarity 0.85."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_dedup.near_duplicates(docs, near_dedup.Params(ngram=3, percent=85))
+    return near_dedup.near_duplicates(docs, near_dedup.Params(ngram=3, percent=85, max_errors=19, chunks=10))
 
 
 @query("op6_secret_scan")

@@ -128,7 +128,7 @@ def report(docs: DataFrame, ledger: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, ledger: str, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each found span of ``text`` replaced by ``mark``; overlapping spans are replaced as one."""
+    """``docs`` with each found span of ``text`` replaced by ``mark`` and ``n_chars`` (if there) as it then is; overlapping spans are replaced as one."""
     columns = docs.columns
     found = of_paths(docs.withColumnRenamed("found", "_found") if "found" in columns else docs, scan(docs, ledger))
     # from the front: what is kept so far, and the end of the last span
@@ -137,5 +137,8 @@ def redact(docs: DataFrame, ledger: str, mark: str = "[secret]") -> DataFrame:
         F.concat(s["kept"], F.substring("text", (s["end"] + 1).cast("int"), (x["start"] - s["end"]).cast("int")), F.lit(mark)).alias("kept"), x["end"].alias("end"),
     )).otherwise(F.struct(s["kept"].alias("kept"), F.greatest(s["end"], x["end"]).alias("end")))
     done = F.aggregate("found", start, step, lambda s: F.concat(s["kept"], F.substring(F.col("text"), (s["end"] + 1).cast("int"), F.length("text"))))
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        found = found.withColumn("n_chars", F.when(F.size("found") > 0, F.length(done).cast(kind)).otherwise(F.col("n_chars")))
     out = found.withColumn("text", F.when(F.size("found") > 0, done).otherwise(F.col("text"))).drop("found")
     return out.withColumnRenamed("_found", "found").select(*columns) if "found" in columns else out.select(*columns)
