@@ -284,12 +284,10 @@ def filter_documents(docs: DataFrame, labels: DataFrame, p: Params = Params()) -
     """The rows of ``docs`` that are kept, all columns unchanged, without a shuffle of the texts."""
     targets = fit_targets(tidy(docs), labels, p)
     sent = docs.sparkSession.sparkContext.broadcast(targets)
-    views = tidy(docs).drop("doc_id")
-
     @F.pandas_udf("boolean")
     def keep(text, lang, source, n_chars):
         import pandas as pd
-        batch = pa.RecordBatch.from_arrays([pa.array(x, t, from_pandas=True) for x, t in ((text, pa.string()), (lang, pa.string()), (source, pa.string()), (n_chars, pa.int64()))], names=views.columns)
+        batch = pa.RecordBatch.from_arrays([pa.array(x, t, from_pandas=True) for x, t in ((text, pa.string()), (lang, pa.string()), (source, pa.string()), (n_chars, pa.int64()))], names=["text", "lang", "source", "n_chars"])
         meta, out = meta_features(batch), np.ones(batch.num_rows, bool)
         for first, style, buckets, at in text_features(batch.column("text"), wanted_buckets(sent.value)):
             rows = slice(first, first + len(style))

@@ -114,7 +114,7 @@ raw AS (
 ent AS (SELECT list, key, dated, max(action) AS action FROM raw GROUP BY ALL),
 iv AS (SELECT list, key, dated AS f, nxt AS t FROM (
   SELECT *, lead(dated) OVER (PARTITION BY list, key ORDER BY dated) AS nxt FROM ent) WHERE action = 'add'),
-lab AS (SELECT rid, fetched_on, host, string_split(host, '.') AS l, list_filter(string_split(path, '/'), x -> x <> '') AS p FROM cap WHERE host <> ''),
+lab AS (SELECT rid, fetched_on, host, string_split(host, '.') AS l, [x for x in string_split(path, '/') if x <> ''] AS p FROM cap WHERE host <> ''),
 asked AS (
   SELECT rid, fetched_on, array_to_string(l[i:len(l)], '.') AS key FROM (SELECT rid, fetched_on, l, unnest(range(1, len(l) + 1)) AS i FROM lab)
   UNION ALL
