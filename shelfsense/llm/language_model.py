@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -56,9 +56,9 @@ class Params:
     hidden: int = 16
     window: int = 16          # steps of back-propagation
     lanes: int = 128          # texts trained side by side
-    score_lanes: int = 512
+    score_lanes: int = 256
     rate: float = 0.004
-    texts_at_once: int = 1 << 20   # words arranged into lanes together
+    texts_at_once: int = 1 << 22   # words arranged into lanes together
 
 
 class Head:
@@ -315,7 +315,7 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int):
     for batch in batches:
         held, n = [], 0
         for block in W.blocks(batch.column(column)):
-            held.append(block)
+            held.append(replace(block, start=None, end=None, data=None, text_at=None, total=None))
             n += len(block.words)
             if n >= size:
                 yield batch, held
