@@ -78,34 +78,37 @@ def likeness(bits_apart: Column) -> Column:
     return F.when(bits_apart == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.cos(bits_apart * F.lit(3.141592653589793 / BITS))))
 
 
-def block_keys(hi: str, lo: str, radius: int, blocks: int = 8) -> Column:
+def block_keys(hi: str, lo: str, radius: int, blocks: int) -> Column:
     """Array of one key for each table; two fingerprints within ``radius`` share a key at least.
 
-    ``radius`` errors leave ``blocks`` - ``radius`` blocks free of errors at the
-    worst if each lies in a block of its own, and a pair of blocks whenever
-    radius <= blocks - 2; a table holds one choice of that many blocks.
+    The bits are cut into ``blocks`` of about equal width.  ``radius`` different
+    bits touch as many blocks at most, so a pair agrees on all others; a table
+    holds one choice of ``blocks`` - ``radius`` blocks.
     """
-    free = blocks - radius
-    assert free >= 1 and BITS % (2 * blocks) == 0
-    width = BITS // blocks
-    part = [F.shiftright(word, k * width).bitwiseAND(F.lit((1 << width) - 1)) for word in (hi, lo) for k in range(64 // width)]
-    return F.array(*[F.xxhash64(F.lit(n), *[part[i] for i in some]) for n, some in enumerate(combinations(range(blocks), free))])
+    free, edges = blocks - radius, [round(k * BITS / blocks) for k in range(blocks + 1)]
+    assert free >= 1
+
+    def bits(s: int, e: int) -> list[Column]:
+        """Bits s to e - 1; those of two words are two columns."""
+        out = []
+        for word, first in ((hi, 0), (lo, 64)):
+            low, high = max(s, first) - first, min(e, first + 64) - first
+            if low < high:
+                out.append(F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1)))
+        return out
+
+    return F.array(*[F.xxhash64(F.lit(n), *[x for i in some for x in bits(edges[i], edges[i + 1])]) for n, some in enumerate(combinations(range(blocks), free))])
 
 
-def near_groups(prints: DataFrame, radius: int = 6) -> DataFrame:
+def near_groups(prints: DataFrame, radius: int = 3, blocks: int = 7) -> DataFrame:
     """(hi, lo, root): fingerprints (hi, lo, distinct) that steps of at most ``radius`` bits connect share a root."""
     nodes = cut_lineage(prints.select(F.xxhash64("hi", "lo").alias("node"), "hi", "lo"))
-    buckets = nodes.select("node", F.explode(block_keys("hi", "lo", radius)).alias("key"))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(nodes.toDF("a", "hi_a", "lo_a"), "a").join(nodes.toDF("b", "hi_b", "lo_b"), "b"))
-        return both.where(distance("hi_a", "lo_a", "hi_b", "lo_b") <= radius).select("a", "b")
-
-    root = linked(buckets, check)
+    buckets = nodes.select("node", F.explode(block_keys("hi", "lo", radius, blocks)).alias("key"))
+    root = linked(buckets, nodes, lambda a, b: distance(a + "hi", a + "lo", b + "hi", b + "lo") <= radius, lambda pairs: pairs)
     return nodes.join(root, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
 
 
-def edited_fingerprints(docs: DataFrame, radius: int = 6) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     """Fingerprints of all texts of ``docs`` (doc_id, text) and of an edit of each.
 
     The edit of a text of n code points replaces its last floor(n / 3) by the

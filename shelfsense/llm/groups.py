@@ -7,8 +7,9 @@ nodes of a bucket may be linked, and a check says whether they are.
 Writing out all pairs of a bucket costs the square of its size, which is
 pointless for a large group of near copies: one link from each of them to a
 common node connects them.  :func:`linked` therefore first compares each node
-with the smallest node of its buckets, joins what is linked into components,
-does so again, and then compares only pairs that lie in different components.
+with one node of each of its buckets, joins what is linked into components, does
+so again with another node, and then compares only pairs that lie in different
+components.
 Two nodes that share a key and end in different components have been compared,
 so no link between components is lost.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -57,39 +58,63 @@ def components(links: DataFrame) -> DataFrame:
     return none(spark) if root is None else root
 
 
-def linked(buckets: DataFrame, check: Check, rounds: int = 2) -> DataFrame:
+def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Column], check: Check, rounds: int = 2, many: int = 32) -> DataFrame:
     """(node, root) of every node that is linked with another one.
 
-    ``buckets`` (key, node) is read twice; ``check`` takes distinct pairs (a, b) and returns those that are linked.
+    ``buckets`` (key, node) is read twice; ``facts`` (node, ...) holds what
+    ``close`` compares: given two prefixes it returns the condition, on columns
+    named prefix + fact, that any linked pair fulfils; ``check`` takes distinct
+    pairs (a, b) that do and returns those that are linked.
+
+    In the last step, the nodes of a bucket meet by joins that have ``close`` as a
+    condition, so pairs that aren't close are never written out.  Nodes of one
+    component aren't compared there: a component with ``many`` nodes or more in a
+    bucket meets the bucket's other nodes as a side of its own.
     """
+    names = [c for c in facts.columns if c != "node"]
+
+    def known(d: DataFrame, node: str, prefix: str) -> DataFrame:
+        return d.join(facts.select(F.col("node").alias(node), *[F.col(c).alias(prefix + c) for c in names]), node)
+
     spark = buckets.sparkSession
-    sizes = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key", "low")
-    shared = cut_lineage(buckets.join(sizes, "key").select("key", "node", "low"))
+    crowded = buckets.groupBy("key").agg(F.min("node").alias("r0"), F.max("node").alias("r1")).where("r0 != r1").select("key")
+    shared = cut_lineage(buckets.join(crowded, "key").select("key", "node"))
     links = tested = None
     root = none(spark)
-    for k in range(rounds + 1):
-        here = (shared.join(root, "node", "left").select("key", "node", "low", F.coalesce("root", "node").alias("root")))
-        mixed = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-        here = cut_lineage(here.join(mixed, "key"))
-        if k < rounds:
-            of_low = root.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
-            pairs = (here.where("node != low").join(of_low, "low", "left")
-                         .where("root != coalesce(low_root, low)").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
-        else:
-            by_root = here.select("key", "root").distinct()
-            two = (by_root.select("key", F.col("root").alias("r0")).join(by_root.select("key", F.col("root").alias("r1")), "key").where("r0 < r1"))
-            pairs = (two.join(here.select("key", F.col("root").alias("r0"), F.col("node").alias("a")), ["key", "r0"])
-                        .join(here.select("key", F.col("root").alias("r1"), F.col("node").alias("b")), ["key", "r1"])
-                        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
-            if k < rounds:
-                continue
-            break
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        nonlocal links
         found = cut_lineage(check(pairs).select("a", "b"))
         links = found if links is None else links.union(found)
+        return components(links)
+
+    for k in range(rounds):
+        here = shared.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        per = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("star"))
+        pairs = here.join(per.where("r0 != r1").select("key", "star"), "key").where("root != star.root").select(F.least("star.node", "node").alias("a"), F.greatest("star.node", "node").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut_lineage(known(known(pairs, "a", "a_"), "b", "b_").where(close("a_", "b_")).select("a", "b"))
         tested = pairs if tested is None else tested.union(pairs)
-        root = components(links)
-    return root
+        root = settle(pairs)
+
+    here = shared.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
+    here = cut_lineage(here.join(mixed, "key"))
+    large = cut_lineage(here.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many).select("key", "root"))
+    few = here.join(large, ["key", "root"], "left_anti")
+    lot = here.join(large, ["key", "root"])
+    side = lambda d, x: known(d.select("key", F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, f"{x}_")
+    near = close("a_", "b_")
+    pairs = side(few, "a").join(side(few, "b").withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("a_root") < F.col("b_root")) & near).select("a", "b")
+    if not large.isEmpty():
+        across = side(few, "a").join(side(lot, "b").withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & near).select("a", "b")
+        two = large.select("key", F.col("root").alias("a_root")).join(large.select("key", F.col("root").alias("b_root")), "key").where("a_root < b_root")
+        both = two.join(side(lot, "a"), ["key", "a_root"])
+        both = both.join(side(lot, "b").withColumnRenamed("key", "key_b").withColumnRenamed("b_root", "root_b"),
+                         (F.col("key") == F.col("key_b")) & (F.col("b_root") == F.col("root_b")) & near).select("a", "b")
+        pairs = pairs.union(across).union(both)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    return settle(cut_lineage(pairs))

@@ -99,18 +99,20 @@ def keys(sig: str, p: Params) -> F.Column:
     return F.array(*out)
 
 
+def close(p: Params):
+    """Condition on signatures and set sizes that linked sets fulfil."""
+    return lambda a, b: F.expr(f"100 * least({a}n, {b}n) >= {p.percent} * greatest({a}n, {b}n)") & F.expr(
+        " + ".join(f"int({a}sig[{i}] != {b}sig[{i}])" for i in range(p.positions)) + f" <= {p.max_errors}")
+
+
 def same_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked: by signature and size first, then by the full sets."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("doc").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    errors = " + ".join(f"int(sig_a[{i}] != sig_b[{i}])" for i in range(p.positions))
-    close = (pairs.join(side("a"), "a").join(side("b"), "b")
-                  .where(F.expr(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")).where(F.expr(f"{errors} <= {p.max_errors}"))
-                  .select("a", "b", "doc_a", "doc_b"))
-    close = cut_lineage(close)
+    """The pairs (a, b) of nodes that are linked by their full sets."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("doc").alias(f"doc_{x}"))
+    near = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "doc_a", "doc_b"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
-    both = (close.join(text.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-                 .join(text.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
-                 .select("a", "b", "text_a", "text_b"))
+    both = (near.join(text.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
+                .join(text.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+                .select("a", "b", "text_a", "text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +141,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     nodes = cut_lineage(rows.where("node is not null and doc_id is not null").groupBy("node")
                             .agg(F.min("doc_id").alias("doc"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig")))
     buckets = nodes.select("node", F.explode(keys("sig", p)).alias("key"))
-    root = linked(buckets, lambda pairs: same_sets(pairs, nodes, docs, p))
+    root = linked(buckets, nodes.select("node", "n", "sig"), close(p), lambda pairs: same_sets(pairs, nodes, docs, p))
     of_node = nodes.select("node", "doc").join(root, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     smallest = of_node.groupBy("root").agg(F.min("doc").alias("component_id"))
     group = cut_lineage(of_node.join(smallest, "root").select("node", "component_id"))
