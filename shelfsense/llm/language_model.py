@@ -82,9 +82,9 @@ class Head:
         self.cls = np.append(np.where(word < self.top, word // p.per_class, self.word_classes + band), self.classes - 1).astype(np.int32)
         self.row = np.append(np.where(word < self.top, word, self.top + band), self.top + self.bands).astype(np.int32)
         mass = np.bincount(self.cls[:n], self.counts, self.classes)
-        rest, rest_words = total - int(self.counts.sum()), distinct - n
+        rest, rest_words = total - int(self.counts.sum()), max(0, distinct - n)
         self.log_count = np.log10(self.counts + 1.0)
-        share = np.where(word < self.top, 0.0, np.log(self.counts / np.maximum(mass[self.cls[:n]], 1)))
+        share = np.where(word < self.top, 0.0, np.log(np.maximum(self.counts, 1) / np.maximum(mass[self.cls[:n]], 1)))
         self.share = np.append(share, -np.log(rest + rest_words + 1.0))
         mass[-1] += rest + rest_words + 1
         self.class_bias = np.log(np.maximum(mass, 0.5) / max(mass.sum(), 1)).astype(np.float32)
