@@ -41,8 +41,8 @@ META = 256
 
 @dataclass(frozen=True)
 class Params:
-    labelled: int = 10_000    # rows a fit may use, about
-    pool: int = 6_000         # unlabelled documents that the views label for each other, about
+    labelled: int = 8_000     # rows a fit may use, about
+    pool: int = 4_000         # unlabelled documents that the views label for each other, about
     rounds: int = 3
     grow: float = 0.1         # share of the pool that each view hands over in a round
     words: int = 400          # words with a weight in the text view
