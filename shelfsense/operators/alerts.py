@@ -140,12 +140,12 @@ def alert_feed(analysis: DataFrame, notifs: DataFrame | None = None, tenant: str
         out = out.unionByName(p)
     if notifs is not None:
         present = out.select(tenant, key, F.col("alert_type").alias("notif_type"))
-        extra = (notifs.where(~F.col("is_read"))
-                       .join(present, [tenant, key, "notif_type"], "left_anti"))
+        # the five newest unread ones, then without those that a rule reports anyway; they come first
         w = Window.partitionBy(tenant).orderBy(F.col("notif_id").desc())
-        extra = (extra.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 5)
+        extra = (notifs.where(~F.col("is_read")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 5)
+                      .join(present, [tenant, key, "notif_type"], "left_anti")
                       .select(tenant, key, F.col("notif_type").alias("alert_type"), "severity",
-                              F.lit(7).alias("priority"), "title", F.col("_r").alias("class_rank")))
+                              F.lit(0).alias("priority"), "title", F.col("_r").alias("class_rank")))
         out = out.unionByName(extra)
     w = Window.partitionBy(tenant).orderBy("priority", "class_rank")
     return out.withColumn("feed_rank", F.row_number().over(w)).where(F.col("feed_rank") <= limit)

@@ -284,11 +284,11 @@ def trend_label(series: DataFrame, keys=("product_id",), x: str = "week_idx", va
     rel = F.try_divide(F.regr_slope(value, x), F.avg(value))
     return (series.groupBy(*_keys(keys)).agg(rel.alias("rel_slope"))
                   .withColumn("trend_label",
-                              F.when(F.col("rel_slope") > strong, "strong growth")
-                               .when(F.col("rel_slope") > moderate, "moderate growth")
+                              F.when(F.col("rel_slope") > strong, "strong_growth")
+                               .when(F.col("rel_slope") > moderate, "moderate_growth")
                                .when(F.col("rel_slope") >= -moderate, "stable")
-                               .when(F.col("rel_slope") >= -strong, "moderate decline")
-                               .otherwise("strong decline")))
+                               .when(F.col("rel_slope") >= -strong, "moderate_decline")
+                               .otherwise("strong_decline")))
 
 
 # ------------------------------------------------------------------ I07

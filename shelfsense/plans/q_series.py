@@ -236,9 +236,9 @@ def q_stratified_split(spark, sf_dir):
 , x AS (SELECT product_id, units, CAST(date_diff('day', DATE '1970-01-05', week_end) / 7 AS DOUBLE) AS week_idx FROM dense),
 s AS (SELECT product_id, regr_slope(units, week_idx) / nullif(avg(units), 0) AS rel_slope FROM x GROUP BY product_id)
 SELECT product_id, {b.rnd('rel_slope', 6)} AS rel_slope,
-       CASE WHEN rel_slope > 0.015 THEN 'strong growth' WHEN rel_slope > 0.004 THEN 'moderate growth'
-            WHEN rel_slope >= -0.004 THEN 'stable' WHEN rel_slope >= -0.015 THEN 'moderate decline'
-            ELSE 'strong decline' END AS trend_label
+       CASE WHEN rel_slope > 0.015 THEN 'strong_growth' WHEN rel_slope > 0.004 THEN 'moderate_growth'
+            WHEN rel_slope >= -0.004 THEN 'stable' WHEN rel_slope >= -0.015 THEN 'moderate_decline'
+            ELSE 'strong_decline' END AS trend_label
 FROM s""")
 def q_trend_label(spark, sf_dir):
     d = dense(spark, sf_dir).withColumn("week_idx", (F.datediff("week_end", F.lit("1970-01-05")) / 7).cast("double"))

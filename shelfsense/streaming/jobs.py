@@ -12,9 +12,11 @@ against its batch twin.
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import rules
@@ -55,19 +57,28 @@ def stream_upsert_products(updates: DataFrame, target_path: str, keys: Sequence[
     spark = updates.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        cur = current_version(spark, target_path)
-        merged = io.upsert(spark.read.parquet(cur), batch, keys)
-        nxt = f"{target_path}/v{epoch + 1:06d}"
-        merged.write.mode("overwrite").parquet(nxt)
-        spark.createDataFrame([(nxt,)], "path string").write.mode("overwrite").json(f"{target_path}/_current")
+        # a retried epoch reads the version before its own, which it writes anew
+        cur = current_version(spark, target_path, below=epoch + 1)
+        newest = Window.partitionBy(*keys).orderBy(F.col("_at").desc())
+        last = (batch.withColumn("_at", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(newest))
+                     .where("_n = 1").drop("_at", "_n"))
+        merged = io.upsert(spark.read.parquet(cur), last, keys)
+        merged.write.mode("overwrite").parquet(f"{target_path}/v{epoch + 1:06d}")
     run_available_now(updates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge))
 
 
-def current_version(spark: SparkSession, target_path: str) -> str:
-    try:
-        return spark.read.json(f"{target_path}/_current").first()["path"]
-    except Exception:  # no pointer yet: the initial load
-        return f"{target_path}/v000000"
+def current_version(spark: SparkSession, target_path: str, below: int | None = None) -> str:
+    """Folder of the newest complete version (below ``below``); versions count once their write has committed."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(target_path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(top) if s.isDirectory()]
+    done = [int(n[1:]) for n in names if re.fullmatch(r"v\d{6,}", n)
+            and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target_path}/{n}/_SUCCESS"))]
+    done = [n for n in done if below is None or n < below]
+    if not done:
+        raise FileNotFoundError(f"no complete version in {target_path}")
+    return f"{target_path}/v{max(done):06d}"
 
 
 # ------------------------------------------------------------------ K03

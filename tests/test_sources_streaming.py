@@ -1,3 +1,5 @@
+import pytest
+
 from pyspark.sql import functions as F
 
 from shelfsense import binding as b
@@ -53,3 +55,15 @@ def test_stream_equals_batch(spark):
                                      F.col("ts").alias("sale_date")))
     norm = lambda df: sorted((r.product_id, str(r.week_end), round(r.units, 6)) for r in df.collect())
     assert norm(got) == norm(want)
+
+
+def test_stream_upsert_version_survives_a_broken_write(spark, tmp_path):
+    """A version without its commit mark doesn't count, and a retried epoch reads the one before its own."""
+    from shelfsense.streaming import jobs
+    for k in (0, 1, 2):
+        spark.range(k + 1).write.parquet(f"{tmp_path}/v{k:06d}")
+    (tmp_path / "v000003").mkdir()
+    assert jobs.current_version(spark, str(tmp_path)).endswith("v000002")
+    assert jobs.current_version(spark, str(tmp_path), below=2).endswith("v000001")
+    with pytest.raises(FileNotFoundError):
+        jobs.current_version(spark, str(tmp_path), below=0)
