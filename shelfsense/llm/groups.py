@@ -42,7 +42,7 @@ def components(links: DataFrame) -> DataFrame:
     root = None
     while not links.isEmpty():
         ends = links.union(links.select("b", "a"))
-        to = cut_lineage(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")))
+        to = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to"))
         step = to.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
         step = cut_lineage(step)
         if root is None:
@@ -50,21 +50,24 @@ def components(links: DataFrame) -> DataFrame:
         else:
             root = (root.join(step.withColumnRenamed("node", "root"), "root", "left")
                         .select("node", F.coalesce("to", "root").alias("root")))
-        root = cut_lineage(root)
         links = (links.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
                       .join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
                       .where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         links = cut_lineage(links)
-    return none(spark) if root is None else root
+    return none(spark) if root is None else cut_lineage(root)
 
 
-def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Column], check: Check, rounds: int = 2, many: int = 32) -> DataFrame:
+def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Column], check: Check | None = None,
+           once: Callable[[str, str], Column] | None = None, rounds: int = 2, many: int = 32) -> DataFrame:
     """(node, root) of every node that is linked with another one.
 
-    ``buckets`` (key, node) is read twice; ``facts`` (node, ...) holds what
+    ``buckets`` (key, node, ...) is read twice; ``facts`` (node, ...) holds what
     ``close`` compares: given two prefixes it returns the condition, on columns
     named prefix + fact, that any linked pair fulfils; ``check`` takes distinct
-    pairs (a, b) that do and returns those that are linked.
+    pairs (a, b) that do and returns those that are linked (None: all are).
+    A pair may share many keys; ``once``, on further columns of ``buckets`` and
+    on the facts, is a condition that holds under at least one of them and may
+    fail under the others, so that the last step writes the pair out less often.
 
     In the last step, the nodes of a bucket meet by joins that have ``close`` as a
     condition, so pairs that aren't close are never written out.  Nodes of one
@@ -77,14 +80,15 @@ def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Col
         return d.join(facts.select(F.col("node").alias(node), *[F.col(c).alias(prefix + c) for c in names]), node)
 
     spark = buckets.sparkSession
+    marks = [c for c in buckets.columns if c not in ("key", "node")]
     crowded = buckets.groupBy("key").agg(F.min("node").alias("r0"), F.max("node").alias("r1")).where("r0 != r1").select("key")
-    shared = cut_lineage(buckets.join(crowded, "key").select("key", "node"))
+    shared = cut_lineage(buckets.join(crowded, "key").select("key", "node", *marks))
     links = tested = None
     root = none(spark)
 
     def settle(pairs: DataFrame) -> DataFrame:
         nonlocal links
-        found = cut_lineage(check(pairs).select("a", "b"))
+        found = pairs if check is None else cut_lineage(check(pairs).select("a", "b"))
         links = found if links is None else links.union(found)
         return components(links)
 
@@ -98,14 +102,14 @@ def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Col
         tested = pairs if tested is None else tested.union(pairs)
         root = settle(pairs)
 
-    here = shared.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    here = shared.join(root, "node", "left").select("key", "node", *marks, F.coalesce("root", "node").alias("root"))
     mixed = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
     here = cut_lineage(here.join(mixed, "key"))
     large = cut_lineage(here.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many).select("key", "root"))
     few = here.join(large, ["key", "root"], "left_anti")
     lot = here.join(large, ["key", "root"])
-    side = lambda d, x: known(d.select("key", F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, f"{x}_")
-    near = close("a_", "b_")
+    side = lambda d, x: known(d.select("key", F.col("node").alias(x), F.col("root").alias(f"{x}_root"), *[F.col(c).alias(f"{x}_{c}") for c in marks]), x, f"{x}_")
+    near = close("a_", "b_") if once is None else once("a_", "b_") & close("a_", "b_")
     pairs = side(few, "a").join(side(few, "b").withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("a_root") < F.col("b_root")) & near).select("a", "b")
     if not large.isEmpty():
         across = side(few, "a").join(side(lot, "b").withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & near).select("a", "b")

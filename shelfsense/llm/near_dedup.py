@@ -11,8 +11,12 @@ The join finds *all* pairs with at most ``max_errors`` disagreements: the
 positions are split into ``chunks``; by the pigeonhole principle some chunk has
 at most ``max_errors // chunks`` of them (1 at the defaults), and for every
 chunk all ways of leaving out that many of its positions are written out as
-keys.  Pairs under a common key are checked by their signatures and set sizes,
-then by their full sets.
+keys.  Pairs under a common key are checked by set sizes, by the lowest four bits
+of each position, packed into 64-bit lanes (values that differ there differ, so no
+pair within ``max_errors`` is lost), and by a bitmap of each set: of 256 classes
+of hashes, those that hold an odd number of the set.  Two bitmaps differ in no more
+bits than the sets differ in elements, so this check loses no linked pair either.
+What passes is checked by its full sets.
 
 Nulls, empty texts and texts of white space have an empty set: they are linked
 with nothing.  Rows with equal sets form one class, whatever their number; a
@@ -38,6 +42,11 @@ from . import words as W
 from .groups import linked
 
 
+#: bits of a position that are compared inside the joins, and positions in one 64-bit lane
+BITS, PER_LANE = 4, 16
+BITMAP = ("p0", "p1", "p2", "p3")
+
+
 @dataclass(frozen=True)
 class Params:
     ngram: int = 5
@@ -70,9 +79,30 @@ def sign(h: np.ndarray, at: np.ndarray, positions: int) -> np.ndarray:
     return out
 
 
+def lanes(p: Params) -> list[str]:
+    return [f"s{k}" for k in range(ceil(p.positions / PER_LANE))]
+
+
+def pack(sig: np.ndarray) -> list[np.ndarray]:
+    """The lowest bits of all positions: one int64 for each ``PER_LANE`` of them."""
+    low = (sig & ((1 << BITS) - 1)).astype(np.uint64)
+    at = np.arange(PER_LANE, dtype=np.uint64) * np.uint64(BITS)
+    parts = [low[:, k:k + PER_LANE] for k in range(0, sig.shape[1], PER_LANE)]
+    return [W.int64(np.bitwise_or.reduce(x << at[:x.shape[1]], axis=1)) for x in parts]
+
+
+def parity(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Bitmap of the classes of hashes that hold an odd number of each set, in int64 columns."""
+    n, width = len(at) - 1, 64 * len(BITMAP)
+    cell = np.repeat(np.arange(n), np.diff(at)) * width + ((h >> np.uint64(24)) % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * width) & 1).astype(np.uint8)
+    return list(np.packbits(odd.reshape(n, width), axis=1).view(np.int64).T)
+
+
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set), sig of every row."""
-    schema = "doc_id long, n_shingles long, node long, sig array<smallint>"
+    """doc_id, n_shingles, node (null for an empty set), sig, its packed lanes and the bitmap of every row."""
+    packed = [*lanes(p), *BITMAP]
+    schema = "doc_id long, n_shingles long, node long, sig array<smallint>, " + ", ".join(f"{x} long" for x in packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,27 +112,58 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 sig = sign(h, at, p.positions)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(first, len(n)), pa.array(n.astype(np.int64)), pa.array(set_ids(h, at), mask=n == 0),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * p.positions), pa.array(sig.ravel()))],
-                    names=["doc_id", "n_shingles", "node", "sig"])
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * p.positions), pa.array(sig.ravel())),
+                    *[pa.array(np.ascontiguousarray(x)) for x in (*pack(sig), *parity(h, at))]],
+                    names=["doc_id", "n_shingles", "node", "sig", *packed])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def choices(p: Params) -> list[tuple[int, int, int, tuple[int, ...]]]:
+    """(chunk, its begin, its end, positions left out) of every key of a signature."""
+    edges = [round(k * p.positions / p.chunks) for k in range(p.chunks + 1)]
+    return [(c, s, e, out) for c, (s, e) in enumerate(zip(edges, edges[1:])) for out in combinations(range(s, e), min(p.max_errors // p.chunks, e - s))]
+
+
 def keys(sig: str, p: Params) -> F.Column:
     """Array of the keys of a signature: each chunk without each choice of allowed errors."""
-    edges = [round(k * p.positions / p.chunks) for k in range(p.chunks + 1)]
-    out, errors = [], p.max_errors // p.chunks
-    for c, (s, e) in enumerate(zip(edges, edges[1:])):
-        for left_out in combinations(range(s, e), min(errors, e - s)):
-            kept = [F.col(sig)[i] for i in range(s, e) if i not in left_out]
-            out.append(F.xxhash64(F.lit(c), F.lit(sum(1 << (i - s) for i in left_out)), *kept))
-    return F.array(*out)
+    return F.array(*[F.xxhash64(F.lit(c), F.lit(sum(1 << (i - s) for i in out)), *[F.col(sig)[i] for i in range(s, e) if i not in out])
+                     for c, s, e, out in choices(p)])
+
+
+def rests(sig: str, p: Params) -> F.Column:
+    """For each key the value of its one left-out position, null for the first of a chunk.
+
+    A pair that agrees on a whole chunk shares all of the chunk's keys and is
+    needed under one only (:func:`once`).
+    """
+    return F.array(*[F.col(sig)[out[0]] if len(out) == 1 and out[0] > s else F.lit(None).cast("smallint") for _, s, _, out in choices(p)])
+
+
+def once(a: str, b: str) -> F.Column:
+    """True under one of the keys of a chunk that a pair shares."""
+    return F.col(a + "rest").isNull() | (F.col(a + "rest") != F.col(b + "rest"))
 
 
 def close(p: Params):
-    """Condition on signatures and set sizes that linked sets fulfil."""
-    return lambda a, b: F.expr(f"100 * least({a}n, {b}n) >= {p.percent} * greatest({a}n, {b}n)") & F.expr(
-        " + ".join(f"int({a}sig[{i}] != {b}sig[{i}])" for i in range(p.positions)) + f" <= {p.max_errors}")
+    """Condition on set sizes, bitmaps and packed signatures that linked sets fulfil."""
+    ones = sum(1 << (BITS * k) for k in range(PER_LANE))
+
+    def errors(a: str, b: str, lane: str) -> F.Column:
+        x = F.col(a + lane).bitwiseXOR(F.col(b + lane))
+        shift = 1
+        while shift < BITS:      # the lowest bit of each position gets any bit that differs
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+            shift *= 2
+        return F.bit_count(x.bitwiseAND(F.lit(ones)))
+
+    def condition(a: str, b: str) -> F.Column:
+        sizes = F.expr(f"100 * least({a}n, {b}n) >= {p.percent} * greatest({a}n, {b}n)")
+        apart = sum((F.bit_count(F.col(a + x).bitwiseXOR(F.col(b + x))) for x in BITMAP), F.lit(0))
+        few = apart * (100 + p.percent) <= (F.col(a + "n") + F.col(b + "n")) * (100 - p.percent)
+        return sizes & few & (sum((errors(a, b, x) for x in lanes(p)), F.lit(0)) <= p.max_errors)
+
+    return condition
 
 
 def same_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
@@ -139,9 +200,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     assert p.positions >= p.chunks > 0 and ceil(p.positions / p.chunks) > p.max_errors // p.chunks
     rows = cut_lineage(signatures(docs, p))
     nodes = cut_lineage(rows.where("node is not null and doc_id is not null").groupBy("node")
-                            .agg(F.min("doc_id").alias("doc"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig")))
-    buckets = nodes.select("node", F.explode(keys("sig", p)).alias("key"))
-    root = linked(buckets, nodes.select("node", "n", "sig"), close(p), lambda pairs: same_sets(pairs, nodes, docs, p))
+                            .agg(F.min("doc_id").alias("doc"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"),
+                                 *[F.any_value(x).alias(x) for x in (*lanes(p), *BITMAP)]))
+    buckets = nodes.select("node", F.inline(F.arrays_zip(keys("sig", p).alias("key"), rests("sig", p).alias("rest"))))
+    root = linked(buckets, nodes.select("node", "n", *lanes(p), *BITMAP), close(p), lambda pairs: same_sets(pairs, nodes, docs, p), once)
     of_node = nodes.select("node", "doc").join(root, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     smallest = of_node.groupBy("root").agg(F.min("doc").alias("component_id"))
     group = cut_lineage(of_node.join(smallest, "root").select("node", "component_id"))

@@ -89,6 +89,45 @@ def test_hamming_keys_find_all_pairs(spark):
     assert d.where("not x").count() == 0
 
 
+def test_pairs_within_the_distance_are_written_out(spark):
+    """Pairs with up to max_errors different positions fulfil ``once`` under a shared key; bitmaps never differ in more than the sets do."""
+    import random
+
+    import numpy as np
+    p, r = near_dedup.Params(ngram=3, percent=85, max_errors=19, chunks=10), random.Random(4)
+    rows = []
+    for i in range(60):
+        a = [r.randrange(1 << 15) for _ in range(p.positions)]
+        b = list(a)
+        for k in r.sample(range(p.positions), r.choice([0, 1, 5, 12, p.max_errors])):
+            b[k] ^= 1
+        rows.append((i, a, b))
+    d = spark.createDataFrame(rows, "i int, a array<smallint>, b array<smallint>")
+    side = lambda x: d.select("i", F.inline(F.arrays_zip(near_dedup.keys(x, p).alias(f"{x}_key"), near_dedup.rests(x, p).alias(f"{x}_rest"))))
+    met = side("a").join(side("b"), "i").where("a_key = b_key").where(near_dedup.once("a_", "b_"))
+    assert met.select("i").distinct().count() == 60
+
+    rng = np.random.default_rng(5)
+    for n, other in ((3, 0), (40, 7), (900, 300)):
+        h = rng.integers(0, 2**63, n + other, dtype=np.uint64)
+        x = near_dedup.parity(np.concatenate([h[:n], h[other:]]), np.array([0, n, 2 * n]))
+        assert sum(int(c[0] ^ c[1]).bit_count() if c[0] ^ c[1] >= 0 else (int(c[0] ^ c[1]) + (1 << 64)).bit_count() for c in x) <= len(set(h[:n].tolist()) ^ set(h[other:].tolist()))
+
+
+def test_first_table(spark):
+    """Two fingerprints within the radius fulfil ``first_table`` under exactly one shared key."""
+    import random
+    r, rows = random.Random(6), []
+    for i in range(80):
+        hi, lo = r.getrandbits(63), r.getrandbits(63)
+        flips = r.sample(range(126), i % 4)
+        rows.append((i, hi, lo, hi ^ sum(1 << f for f in flips if f < 63), lo ^ sum(1 << (f - 63) for f in flips if f >= 63)))
+    d = spark.createDataFrame(rows, "i int, a_hi long, a_lo long, b_hi long, b_lo long")
+    side = lambda x: d.select("i", f"{x}_hi", f"{x}_lo", F.inline(fingerprints.block_keys(f"{x}_hi", f"{x}_lo", 3, 7))).withColumnsRenamed({"key": f"{x}_key", "skipped": f"{x}_skipped"})
+    met = side("a").join(side("b"), "i").where("a_key = b_key").where(fingerprints.first_table(7)("a_", "b_"))
+    assert [x["n"] for x in met.groupBy("i").agg(F.count("*").alias("n")).collect()] == [1] * 80
+
+
 def test_language_model(docs, texts):
     count = Counter()
     for i, t in texts.items():
