@@ -23,7 +23,9 @@ input row gets a row, repeated ones too; a null doc_id sorts after all others.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,32 +81,50 @@ def likeness(bits_apart: Column) -> Column:
 
 
 def block_keys(hi: str, lo: str, radius: int, blocks: int) -> Column:
-    """Array of one key for each table; two fingerprints within ``radius`` share a key at least.
+    """Array of (key, skipped), one for each table; two fingerprints within ``radius`` share a key at least.
 
     The bits are cut into ``blocks`` of about equal width.  ``radius`` different
     bits touch as many blocks at most, so a pair agrees on all others; a table
-    holds one choice of ``blocks`` - ``radius`` blocks.
+    holds one choice of ``blocks`` - ``radius`` blocks.  ``skipped`` has a bit for
+    each block that the table leaves out before its last one (:func:`first_table`).
     """
-    free, edges = blocks - radius, [round(k * BITS / blocks) for k in range(blocks + 1)]
+    free = blocks - radius
     assert free >= 1
 
-    def bits(s: int, e: int) -> list[Column]:
-        """Bits s to e - 1; those of two words are two columns."""
-        out = []
-        for word, first in ((hi, 0), (lo, 64)):
-            low, high = max(s, first) - first, min(e, first + 64) - first
-            if low < high:
-                out.append(F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1)))
-        return out
+    def skipped(some: tuple[int, ...]) -> int:
+        return sum(1 << i for i in range(some[-1]) if i not in some)
+
+    return F.array(*[F.struct(F.xxhash64(F.lit(n), *[x for i in some for x in block_bits(hi, lo, i, blocks)]).alias("key"), F.lit(skipped(some)).alias("skipped"))
+                     for n, some in enumerate(combinations(range(blocks), free))])
+
 
-    return F.array(*[F.xxhash64(F.lit(n), *[x for i in some for x in bits(edges[i], edges[i + 1])]) for n, some in enumerate(combinations(range(blocks), free))])
+def block_bits(hi: str, lo: str, block: int, blocks: int) -> list[Column]:
+    """The bits of a block; those of two words are two columns."""
+    s, e = round(block * BITS / blocks), round((block + 1) * BITS / blocks)
+    out = []
+    for word, first in ((hi, 0), (lo, 64)):
+        low, high = max(s, first) - first, min(e, first + 64) - first
+        if low < high:
+            out.append(F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1)))
+    return out
+
+
+def first_table(blocks: int):
+    """Condition that holds under the first of the tables in which a pair meets: the blocks it skips differ."""
+    def condition(a: str, b: str) -> Column:
+        out = F.lit(True)
+        for i in range(blocks - 1):
+            same = [x == y for x, y in zip(block_bits(a + "hi", a + "lo", i, blocks), block_bits(b + "hi", b + "lo", i, blocks))]
+            out = out & ((F.col(a + "skipped").bitwiseAND(F.lit(1 << i)) == 0) | ~reduce(and_, same))
+        return out
+    return condition
 
 
 def near_groups(prints: DataFrame, radius: int = 3, blocks: int = 7) -> DataFrame:
     """(hi, lo, root): fingerprints (hi, lo, distinct) that steps of at most ``radius`` bits connect share a root."""
     nodes = cut_lineage(prints.select(F.xxhash64("hi", "lo").alias("node"), "hi", "lo"))
-    buckets = nodes.select("node", F.explode(block_keys("hi", "lo", radius, blocks)).alias("key"))
-    root = linked(buckets, nodes, lambda a, b: distance(a + "hi", a + "lo", b + "hi", b + "lo") <= radius, lambda pairs: pairs)
+    buckets = nodes.select("node", F.inline(block_keys("hi", "lo", radius, blocks)))
+    root = linked(buckets, nodes, lambda a, b: distance(a + "hi", a + "lo", b + "hi", b + "lo") <= radius, once=first_table(blocks))
     return nodes.join(root, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
 
 
