@@ -7,9 +7,8 @@ nodes of a bucket may be linked, and a check says whether they are.
 Writing out all pairs of a bucket costs the square of its size, which is
 pointless for a large group of near copies: one link from each of them to a
 common node connects them.  :func:`linked` therefore first compares each node
-with one node of each of its buckets, joins what is linked into components, does
-so again with another node, and then compares only pairs that lie in different
-components.
+with a few nodes of each of its buckets, joins what is linked into components, and
+then compares only pairs that lie in different components.
 Two nodes that share a key and end in different components have been compared,
 so no link between components is lost.
 """
@@ -23,6 +22,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+#: pairs of 64-bit numbers that a join may broadcast: about 4 MB
+BROADCAST_ROWS = 1 << 18
+
 Check = Callable[[DataFrame], DataFrame]
 
 
@@ -40,25 +42,30 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     links = cut_lineage(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     root = None
-    while not links.isEmpty():
+    while n := links.count():
         ends = links.union(links.select("b", "a"))
         to = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to"))
-        step = to.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
+        step = to.join(sized(to.select(F.col("node").alias("to"), F.col("to").alias("next")), 2 * n), "to").select("node", F.col("next").alias("to"))
         step = cut_lineage(step)
         if root is None:
             root = step.withColumnRenamed("to", "root")
         else:
-            root = (root.join(step.withColumnRenamed("node", "root"), "root", "left")
+            root = (root.join(sized(step.withColumnRenamed("node", "root"), 2 * n), "root", "left")
                         .select("node", F.coalesce("to", "root").alias("root")))
-        links = (links.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-                      .join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        links = (links.join(sized(step.select(F.col("node").alias("a"), F.col("to").alias("x")), 2 * n), "a")
+                      .join(sized(step.select(F.col("node").alias("b"), F.col("to").alias("y")), 2 * n), "b")
                       .where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         links = cut_lineage(links)
     return none(spark) if root is None else cut_lineage(root)
 
 
+def sized(pairs: DataFrame, rows: int) -> DataFrame:
+    """``pairs`` (two 64-bit numbers, at most ``rows`` rows) marked for a broadcast if that is within the bound, else for a shuffled join."""
+    return F.broadcast(pairs) if rows <= BROADCAST_ROWS else pairs
+
+
 def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Column], check: Check | None = None,
-           once: Callable[[str, str], Column] | None = None, rounds: int = 2, many: int = 32) -> DataFrame:
+           once: Callable[[str, str], Column] | None = None, stars: int = 4, many: int = 32) -> DataFrame:
     """(node, root) of every node that is linked with another one.
 
     ``buckets`` (key, node, ...) is read twice; ``facts`` (node, ...) holds what
@@ -69,6 +76,8 @@ def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Col
     on the facts, is a condition that holds under at least one of them and may
     fail under the others, so that the last step writes the pair out less often.
 
+    First each node is compared with ``stars`` nodes of each of its buckets, the
+    same ones for as many buckets as possible (those of the smallest hashes).
     In the last step, the nodes of a bucket meet by joins that have ``close`` as a
     condition, so pairs that aren't close are never written out.  Nodes of one
     component aren't compared there: a component with ``many`` nodes or more in a
@@ -79,30 +88,18 @@ def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Col
     def known(d: DataFrame, node: str, prefix: str) -> DataFrame:
         return d.join(facts.select(F.col("node").alias(node), *[F.col(c).alias(prefix + c) for c in names]), node)
 
-    spark = buckets.sparkSession
     marks = [c for c in buckets.columns if c not in ("key", "node")]
-    crowded = buckets.groupBy("key").agg(F.min("node").alias("r0"), F.max("node").alias("r1")).where("r0 != r1").select("key")
-    shared = cut_lineage(buckets.join(crowded, "key").select("key", "node", *marks))
-    links = tested = None
-    root = none(spark)
-
-    def settle(pairs: DataFrame) -> DataFrame:
-        nonlocal links
-        found = pairs if check is None else cut_lineage(check(pairs).select("a", "b"))
-        links = found if links is None else links.union(found)
-        return components(links)
-
-    for k in range(rounds):
-        here = shared.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        per = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("star"))
-        pairs = here.join(per.where("r0 != r1").select("key", "star"), "key").where("root != star.root").select(F.least("star.node", "node").alias("a"), F.greatest("star.node", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(known(known(pairs, "a", "a_"), "b", "b_").where(close("a_", "b_")).select("a", "b"))
-        tested = pairs if tested is None else tested.union(pairs)
-        root = settle(pairs)
-
-    here = shared.join(root, "node", "left").select("key", "node", *marks, F.coalesce("root", "node").alias("root"))
+    star = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(stars)]
+    crowded = buckets.groupBy("key").agg(F.min("node").alias("r0"), F.max("node").alias("r1"), F.array(*star).alias("stars")).where("r0 != r1").select("key", "stars")
+    shared = cut_lineage(buckets.join(crowded, "key").select("key", "node", *marks, "stars"))
+
+    found = shared.select("node", F.explode(F.array_distinct("stars")).alias("star")).where("node != star")
+    found = found.select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
+    tested = cut_lineage(known(known(found, "a", "a_"), "b", "b_").where(close("a_", "b_")).select("a", "b"))
+    links = tested if check is None else cut_lineage(check(tested).select("a", "b"))
+    root = components(links)
+
+    here = shared.join(sized(root, root.count()), "node", "left").select("key", "node", *marks, F.coalesce("root", "node").alias("root"))
     mixed = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
     here = cut_lineage(here.join(mixed, "key"))
     large = cut_lineage(here.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many).select("key", "root"))
@@ -119,6 +116,5 @@ def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Col
                          (F.col("key") == F.col("key_b")) & (F.col("b_root") == F.col("root_b")) & near).select("a", "b")
         pairs = pairs.union(across).union(both)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    return settle(cut_lineage(pairs))
+    pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
+    return components(links.union(pairs if check is None else cut_lineage(check(pairs).select("a", "b"))))
