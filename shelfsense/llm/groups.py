@@ -60,7 +60,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def sized(pairs: DataFrame, rows: int) -> DataFrame:
-    """``pairs`` (two 64-bit numbers, at most ``rows`` rows) marked for a broadcast if that is within the bound, else for a shuffled join."""
+    """``pairs`` (one or two 64-bit numbers, at most ``rows`` rows) marked for a broadcast if that is within the bound, else for a shuffled join."""
     return F.broadcast(pairs) if rows <= BROADCAST_ROWS else pairs
 
 
