@@ -68,7 +68,7 @@ def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Col
            once: Callable[[str, str], Column] | None = None, stars: int = 4, many: int = 32) -> DataFrame:
     """(node, root) of every node that is linked with another one.
 
-    ``buckets`` (key, node, ...) is read twice; ``facts`` (node, ...) holds what
+    ``buckets`` (key, node, ...; a pair of key and node once) is read twice; ``facts`` (node, ...) holds what
     ``close`` compares: given two prefixes it returns the condition, on columns
     named prefix + fact, that any linked pair fulfils; ``check`` takes distinct
     pairs (a, b) that do and returns those that are linked (None: all are).
@@ -89,11 +89,13 @@ def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Col
         return d.join(facts.select(F.col("node").alias(node), *[F.col(c).alias(prefix + c) for c in names]), node)
 
     marks = [c for c in buckets.columns if c not in ("key", "node")]
-    star = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(stars)]
-    crowded = buckets.groupBy("key").agg(F.min("node").alias("r0"), F.max("node").alias("r1"), F.array(*star).alias("stars")).where("r0 != r1").select("key", "stars")
-    shared = cut_lineage(buckets.join(crowded, "key").select("key", "node", *marks, "stars"))
+    # most keys are one node's own: a count, the smallest thing to shuffle for each key, finds the others
+    crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = cut_lineage(buckets.join(crowded, "key").select("key", "node", *marks))
 
-    found = shared.select("node", F.explode(F.array_distinct("stars")).alias("star")).where("node != star")
+    star = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(stars)]
+    stars_of = shared.groupBy("key").agg(F.array_distinct(F.array(*star)).alias("stars"))
+    found = shared.select("key", "node").join(stars_of, "key").select("node", F.explode("stars").alias("star")).where("node != star")
     found = found.select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
     tested = cut_lineage(known(known(found, "a", "a_"), "b", "b_").where(close("a_", "b_")).select("a", "b"))
     links = tested if check is None else cut_lineage(check(tested).select("a", "b"))
