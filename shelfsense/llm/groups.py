@@ -24,6 +24,8 @@ from ..session import cut_lineage
 
 #: pairs of 64-bit numbers that a join may broadcast: about 4 MB
 BROADCAST_ROWS = 1 << 18
+#: rows of one or two 64-bit numbers that are worth a task of their own: about 1 MB
+TASK_ROWS = 1 << 16
 
 Check = Callable[[DataFrame], DataFrame]
 
@@ -43,10 +45,11 @@ def components(links: DataFrame) -> DataFrame:
     links = cut_lineage(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     root = None
     while n := links.count():
+        links = packed(links, n)
         ends = links.union(links.select("b", "a"))
         to = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to"))
         step = to.join(sized(to.select(F.col("node").alias("to"), F.col("to").alias("next")), 2 * n), "to").select("node", F.col("next").alias("to"))
-        step = cut_lineage(step)
+        step = cut_lineage(packed(step, 2 * n))
         if root is None:
             root = step.withColumnRenamed("to", "root")
         else:
@@ -55,10 +58,15 @@ def components(links: DataFrame) -> DataFrame:
         links = (links.join(sized(step.select(F.col("node").alias("a"), F.col("to").alias("x")), 2 * n), "a")
                       .join(sized(step.select(F.col("node").alias("b"), F.col("to").alias("y")), 2 * n), "b")
                       .where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        links = cut_lineage(links)
+        links = cut_lineage(packed(links, n))
     return none(spark) if root is None else cut_lineage(root)
 
 
+def packed(pairs: DataFrame, rows: int) -> DataFrame:
+    """``pairs`` (at most ``rows`` rows) in as many partitions as that is worth: a round of few links needn't write files for every shuffle partition."""
+    return pairs.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def sized(pairs: DataFrame, rows: int) -> DataFrame:
     """``pairs`` (one or two 64-bit numbers, at most ``rows`` rows) marked for a broadcast if that is within the bound, else for a shuffled join."""
     return F.broadcast(pairs) if rows <= BROADCAST_ROWS else pairs
@@ -98,6 +106,7 @@ def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Col
     found = shared.select("key", "node").join(stars_of, "key").select("node", F.explode("stars").alias("star")).where("node != star")
     found = found.select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
     tested = cut_lineage(known(known(found, "a", "a_"), "b", "b_").where(close("a_", "b_")).select("a", "b"))
+    tested = packed(tested, tested.count())
     links = tested if check is None else cut_lineage(check(tested).select("a", "b"))
     root = components(links)
 
@@ -119,4 +128,5 @@ def linked(buckets: DataFrame, facts: DataFrame, close: Callable[[str, str], Col
         pairs = pairs.union(across).union(both)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
+    pairs = packed(pairs, pairs.count())
     return components(links.union(pairs if check is None else cut_lineage(check(pairs).select("a", "b"))))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import words as W
-from .groups import linked, sized
+from .groups import linked, packed, sized
 
 
 #: bits of a position that are compared inside the joins, and positions in one 64-bit lane
@@ -171,8 +171,10 @@ def same_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: Params) ->
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("doc").alias(f"doc_{x}"))
     near = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "doc_a", "doc_b"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
+    rows = near.count()
+    near = packed(near, rows)
     asked = near.select(F.col("doc_a").alias("doc")).union(near.select(F.col("doc_b").alias("doc"))).distinct()
-    text = text.join(sized(asked, 2 * near.count()), "doc", "left_semi")
+    text = text.join(sized(asked, 2 * rows), "doc", "left_semi")
     both = (near.join(text.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
                 .join(text.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
                 .select("a", "b", "text_a", "text_b"))
