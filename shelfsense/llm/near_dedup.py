@@ -13,7 +13,7 @@ at most ``max_errors // chunks`` of them (1 at the defaults), and for every
 chunk all ways of leaving out that many of its positions are written out as
 keys.  Pairs under a common key are checked by set sizes, by the lowest four bits
 of each position, packed into 64-bit lanes (values that differ there differ, so no
-pair within ``max_errors`` is lost), and by a bitmap of each set: of 256 classes
+pair within ``max_errors`` is lost), and by a bitmap of each set: of 512 classes
 of hashes, those that hold an odd number of the set.  Two bitmaps differ in no more
 bits than the sets differ in elements, so this check loses no linked pair either.
 What passes is checked by its full sets.
@@ -44,7 +44,7 @@ from .groups import linked, packed, sized
 
 #: bits of a position that are compared inside the joins, and positions in one 64-bit lane
 BITS, PER_LANE = 4, 16
-BITMAP = ("p0", "p1", "p2", "p3")
+BITMAP = tuple(f"p{k}" for k in range(8))
 
 
 @dataclass(frozen=True)
