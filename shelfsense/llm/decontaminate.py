@@ -1,20 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-1. Which n-grams of the benchmark occur in the corpus, and in how many
-   documents?  Tasks test the n-grams of whole texts against a bit table of
-   fixed size, whatever the size of the benchmark; a join with the benchmark's
-   n-grams removes what the table let through by chance.
-2. The seeds of an item are its rarest n-grams: three quarters of its n-grams,
-   eight at least, in order of that count.  Frequent phrases so give no
-   candidates, but an item that leaked into very many documents keeps seeds.
-3. Passages around seeds (as long as the longest item on either side, and
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+
+1. The seeds of an item are all its n-grams, frequent ones too: an edit may
+   leave no other intact.  Tasks test the n-grams of whole texts against a bit
+   table of fixed size, whatever the size of the benchmark.
+2. Passages around seeds (as long as the longest item on either side, and
    merged where they overlap) are joined to the items of their seeds by the
-   seeds' hashes.
-4. Each passage is aligned with each such item by Smith and Waterman's local
+   seeds' hashes, which also removes what the table let through by chance.
+3. Items with too few words in the passage to reach the score in any order, as
+   those that only share a frequent phrase, need no alignment.
+4. Each passage is aligned with each other item by Smith and Waterman's local
    alignment over words (equal +2, different -1, gap -1).  The score is the
    alignment's divided by that of the item with itself: 1 for a full copy, about
    0.7 for one with a fifth of the words changed.
 
+A copy whose edits leave no n-gram of the item intact (every third word changed)
+has no seed and isn't found.
+
 A short item (fewer words than an n-gram) has one seed, all its words, and is
 found where the n-gram length allows: items of 1 to n-1 words are looked up as
 word runs of their own length.  Null or empty items and documents match nothing.
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -42,8 +43,6 @@ TABLE_BITS = 25
 @dataclass(frozen=True)
 class Params:
     ngram: int = 3
-    rare: float = 0.75       # share of an item's n-grams that are seeds
-    least: int = 8           # seeds of an item at least, if it has so many n-grams
     contaminated: float = 0.5
 
 
@@ -106,8 +105,8 @@ def item_rows(benchmark: DataFrame, p: Params) -> DataFrame:
     return rows.where(F.size("words") > 0).withColumn("item", F.xxhash64("words"))
 
 
-def hits(docs: DataFrame, table, n: int, lengths: list[int], width: int, schema: str, emit) -> DataFrame:
-    """mapInArrow over whole texts; ``emit`` makes rows of a block's marked n-grams."""
+def hits(docs: DataFrame, table, n: int, lengths: list[int], width: int) -> DataFrame:
+    """Passages around the marked n-grams of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,19 +114,9 @@ def hits(docs: DataFrame, table, n: int, lengths: list[int], width: int, schema:
                 h, text, first = grams(b, n, lengths)
                 here = marked(table.value, h)
                 if here.any():
-                    yield emit(batch.column(0).slice(b.first, len(b)), b, h[here], text[here], first[here], width)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
-
+                    yield passages(batch.column(0).slice(b.first, len(b)), b, h[here], text[here], first[here], width)
 
-def counted(ids, b, h, text, first, width) -> pa.RecordBatch:
-    """Each marked n-gram of the block, with the number of its texts that have it."""
-    order = np.lexsort((text, h))
-    h, text = h[order], text[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    gram, n = np.unique(h[new], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(W.int64(gram)), pa.array(n)], names=["hash", "n"])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, begin long, passage array<long>, seeds array<long>")
 
 
 def passages(ids, b, h, text, first, width) -> pa.RecordBatch:
@@ -177,12 +166,23 @@ def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray
     return best, end
 
 
-def align(pairs: DataFrame) -> DataFrame:
-    """doc_id, item_id, score, begin, end (words of the text up to where the alignment ends) of each pair (doc_id, item_id, begin, passage, words)."""
+def possible(batch: pa.RecordBatch, least: float) -> tuple[pa.RecordBatch, list[list[np.ndarray]]]:
+    """The pairs whose passage has at least ``least`` of the item's words, and their words and passages."""
+    lists = [[np.asarray(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("words", "passage")]
+    keep = [k for k, (w, x) in enumerate(zip(*lists)) if np.isin(w, x).sum() >= least * len(w)]
+    return batch.take(pa.array(keep, pa.int64())), [[x[k] for k in keep] for x in lists]
+
+
+def align(pairs: DataFrame, least: float) -> DataFrame:
+    """doc_id, item_id, score, begin, end (words of the text up to where the alignment ends) of each pair (doc_id, item_id, begin, passage, words).
+
+    Pairs that can't score ``least`` are left out: equal words give 2 each, so the
+    share of the item's words that occur in the passage bounds the score.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [[np.asarray(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("words", "passage")]
+            batch, lists = possible(batch, least)
             order = np.argsort([len(x) for x in lists[1]], kind="stable")
             score, end = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             i = 0
@@ -206,17 +206,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
     items = cut_lineage(item_rows(benchmark, p))
     size = items.agg(F.max(F.size("words")).alias("n"), F.collect_set(F.when(F.size("words") < p.ngram, F.size("words"))).alias("short")).first()
     width, lengths = int(1.25 * (size["n"] or 0)) + 4, sorted(size["short"])
-    every = items.select("item_id", F.explode("seeds").alias("hash"))
-    counts = hits(docs, sc.broadcast(bit_table(every)), p.ngram, lengths, width, "hash long, n long", counted).groupBy("hash").agg(F.sum("n").alias("n"))
-    ranked = every.join(counts, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    by_item = Window.partitionBy("item_id")
-    seeds = ranked.withColumn("rank", F.row_number().over(by_item.orderBy("n", "hash"))).withColumn("all", F.count(F.lit(1)).over(by_item))
-    seeds = cut_lineage(seeds.where((F.col("rank") <= F.greatest(F.lit(p.least), F.ceil(F.col("all") * p.rare))) & (F.col("n") > 0)).select("item_id", "hash"))
-    found = cut_lineage(hits(docs, sc.broadcast(bit_table(seeds)), p.ngram, lengths, width, "doc_id long, begin long, passage array<long>, seeds array<long>", passages)
+    seeds = items.select("item_id", F.explode("seeds").alias("hash")).distinct()
+    found = cut_lineage(hits(docs, sc.broadcast(bit_table(seeds)), p.ngram, lengths, width)
                         .withColumn("id", F.monotonically_increasing_id()))
     pairs = cut_lineage(found.select("id", F.explode("seeds").alias("hash")).join(seeds, "hash").select("id", "item_id").distinct())
     pairs = pairs.join(found.select("id", "doc_id", "begin", "passage"), "id").join(items.select("item_id", "words"), "item_id")
-    scored = align(pairs).where(F.col("score") >= p.contaminated)
+    scored = align(pairs, p.contaminated).where(F.col("score") >= p.contaminated)
     return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_passages"))
 
 
