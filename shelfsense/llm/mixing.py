@@ -8,13 +8,13 @@ runs.  The weights of the sources that still have blocks add up to 1, so no
 deadline is missed, and at every time the number of blocks a source has had
 differs by less than one from its weight times the time.
 
-Weights are whole shares of a period of ``period`` slots (rounded by largest
-remainder, one at least), so the schedule repeats, and only one period is worked
-out by the driver; when a source runs out, the period is cut there, and the next
-phase goes on with the other sources, their weights scaled up.  So the driver
-handles a period for each source at most (sources x period steps) however many
-rows there are; it holds one row per source, never documents.  Slots of whole
-repetitions follow by arithmetic in the tasks.
+Weights are exact: the decimal values given, as whole numbers of any length, are
+never rounded to shares of a period, so the deviation doesn't grow with the
+number of slots.  When a source runs out, the next phase goes on with the other
+sources, their weights scaled up.  Each slot depends on those before it, so one
+task works them out, a step for every ``block`` rows; it holds one row per source
+and ``period`` slots, never documents, and hands the slots on as it goes.  The
+driver holds one row per source.
 
 Rows are ordered within a source by a hash of the id; positions come from row
 counts of hash buckets, so a source with a third of all rows is no single task.
@@ -28,9 +28,13 @@ root of its rows.  Every row gets one place; repeated rows get different ones.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import count, islice
+from math import lcm
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -39,72 +43,64 @@ from ..session import cut_lineage
 NO_SOURCE = "\0null"
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source, by largest remainder, at least one each."""
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    rest = sorted(out, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    while sum(out.values()) < period:
-        for s in rest:
-            if sum(out.values()) < period:
-                out[s] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -1e9, s))] -= 1
-    return out
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers in exactly the proportions of their decimal values."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    unit = lcm(*[x.denominator for x in exact.values()])
+    return {s: int(x * unit) for s, x in exact.items()}
 
 
-def schedule(share: dict[str, int], slots: int | None = None) -> list[str]:
-    """The source of each slot of a period (or of its first ``slots``): earliest deadline first among the released blocks."""
-    period = sum(share.values())
+def turns(share: dict[str, int]) -> Iterator[str]:
+    """The source of each slot, without end: earliest deadline first among the released blocks."""
+    total = sum(share.values())
     waiting, ready, done = [], [], {s: 0 for s in share}
     for s in share:
         heapq.heappush(waiting, (0, s))
-    out = []
-    for t in range(period if slots is None else slots):
+    for t in count():
         while waiting and waiting[0][0] <= t:
             _, s = heapq.heappop(waiting)
-            w = Fraction(share[s], period)
             # equal deadlines: the later the next release may be, the less a delay does; the heavier goes first
-            heapq.heappush(ready, (-(-(done[s] + 1) // w), -w, s))
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // share[s]), -share[s], s))
         _, _, s = heapq.heappop(ready)
-        out.append(s)
+        yield s
         done[s] += 1
-        heapq.heappush(waiting, (int(done[s] * period // share[s]), s))
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple[str, int, int, int, int, int, list[int]]]:
-    """(source, first block, blocks, first slot, period length, blocks a period, their slots in the period) of each phase and source."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    first, slot, out = {s: 0 for s in left}, 0, []
-    while left:
-        weighted = {s: weights.get(s, 0) for s in left if weights.get(s, 0) > 0}
-        if not weighted:
-            for s in sorted(left):
-                out.append((s, first[s], left[s], slot, 1, 1, [0]))
-                slot += left[s]
-            break
-        share = shares(weighted, period)
-        plan = schedule(share)
-        whole = min(left[s] // share[s] for s in share)
-        places = {s: [t for t, x in enumerate(plan) if x == s] for s in share}
-        if whole:
-            length = len(plan)
-            runs = {s: whole * share[s] for s in share}
-        else:      # a source ends within this period
-            whole = 1
-            length = min(places[s][left[s] - 1] + 1 for s in share if left[s] <= share[s])
-            runs = {s: sum(t < length for t in places[s]) for s in share}
-        for s, n in runs.items():
-            if n:
-                out.append((s, first[s], n, slot, length, n // whole, places[s][:n // whole]))
-                first[s] += n
-                left[s] -= n
-        left = {s: n for s, n in left.items() if n > 0}
-        slot += whole * length
-    return out
+        heapq.heappush(waiting, (done[s] * total // share[s], s))
+
+
+def schedule(share: dict[str, int], slots: int | None = None) -> list[str]:
+    """The source of each slot until the shares are used up (or of the first ``slots``)."""
+    return list(islice(turns(share), sum(share.values()) if slots is None else slots))
+
+
+def order(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """(source, block) of each slot until all blocks are placed."""
+    left, done = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0)
+    while weighted := {s: weights[s] for s in left if weights.get(s, 0) > 0}:
+        for s in turns(whole(weighted)):
+            yield s, done[s]
+            done[s] += 1
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
+    for s in sorted(left):
+        yield from ((s, k) for k in range(left[s]))
+
+
+def slots(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], period: int) -> DataFrame:
+    """source, source_block, slot of all blocks, worked out by a task and handed on ``period`` slots at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            todo, at = order(blocks, weights), 0
+            while some := list(islice(todo, max(1, period))):
+                source, block = zip(*some)
+                yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(block, pa.int64()), pa.array(range(at, at + len(some)), pa.int64())], names=["source", "source_block", "slot"])
+                at += len(some)
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "source string, source_block long, slot long")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 64, period: int = 1000, rows_per_bucket: int = 4096) -> DataFrame:
@@ -117,20 +113,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 6
     sizes = cut_lineage(rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")))
     of = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     weights = {s: n ** 0.5 for s, n in of.items()} if weights is None else {NO_SOURCE if s is None else s: w for s, w in weights.items()}
-    plan = phases({s: -(-n // block) for s, n in of.items()}, weights, period)
-
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("source", "bucket", "before")
     inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "row")
     placed = (rows.join(offsets, ["source", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
                   .select("doc_id", "source", "rank", F.floor(F.col("rank") / block).alias("source_block")))
 
-    # one row for each block, of the phases' arithmetic
-    schema = "source string, first long, blocks long, first_slot long, length long, each long, places array<int>"
-    ruled = spark.createDataFrame(plan, schema).repartition(max(1, min(len(plan), spark.sparkContext.defaultParallelism)))
-    blocks = ruled.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(
-        "source", (F.col("first") + F.col("k")).alias("source_block"),
-        (F.col("first_slot") + F.floor(F.col("k") / F.col("each")) * F.col("length") + F.get("places", (F.col("k") % F.col("each")).cast("int"))).alias("slot"))
+    blocks = slots(spark, {s: -(-n // block) for s, n in of.items()}, weights, period)
     of_block = sizes.groupBy("source").agg(F.sum("n").alias("n"))
     blocks = blocks.join(of_block, "source").withColumn("rows", F.least(F.lit(block), F.col("n") - F.col("source_block") * block))
     # first position of each slot: all slots are full but for the last block of each source
