@@ -120,7 +120,7 @@ def first_table(blocks: int):
     return condition
 
 
-def near_groups(prints: DataFrame, radius: int = 3, blocks: int = 7) -> DataFrame:
+def near_groups(prints: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
     """(hi, lo, root): fingerprints (hi, lo, distinct) that steps of at most ``radius`` bits connect share a root."""
     nodes = cut_lineage(prints.select(F.xxhash64("hi", "lo").alias("node"), "hi", "lo"))
     buckets = nodes.select("node", F.inline(block_keys("hi", "lo", radius, blocks)))
@@ -128,7 +128,7 @@ def near_groups(prints: DataFrame, radius: int = 3, blocks: int = 7) -> DataFram
     return nodes.join(root, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
 
 
-def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, radius: int = 6) -> DataFrame:
     """Fingerprints of all texts of ``docs`` (doc_id, text) and of an edit of each.
 
     The edit of a text of n code points replaces its last floor(n / 3) by the
