@@ -19,8 +19,9 @@ has no seed and isn't found.
 A short item (fewer words than an n-gram) has one seed, all its words, and is
 found where the n-gram length allows: items of 1 to n-1 words are looked up as
 word runs of their own length.  Null or empty items and documents match nothing.
-A null doc_id is reported as null; repeated rows are reported once.  Equal items
-are each reported.
+A null doc_id or item_id is reported as null; repeated rows are reported once.
+Equal items are each reported.  Texts and items are told apart by their hashes, so
+rows that share an id are judged by their own texts.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def grams(block: W.Block, n: int, lengths: list[int]) -> tuple[np.ndarray, np.nd
 
 
 def item_rows(benchmark: DataFrame, p: Params) -> DataFrame:
-    """item_id, item (a number for each text), words (hashes), seeds (hash of each distinct n-gram) of items with words."""
+    """item_id, item (a number for each text; an item_id may have several), words (hashes), seeds (hash of each distinct n-gram) of items with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,6 +106,10 @@ def item_rows(benchmark: DataFrame, p: Params) -> DataFrame:
     return rows.where(F.size("words") > 0).withColumn("item", F.xxhash64("words"))
 
 
+def text_key():
+    return F.xxhash64(F.col("text").cast("string")).alias("text_key")
+
+
 def hits(docs: DataFrame, table, n: int, lengths: list[int], width: int) -> DataFrame:
     """Passages around the marked n-grams of whole texts."""
 
@@ -114,13 +119,13 @@ def hits(docs: DataFrame, table, n: int, lengths: list[int], width: int) -> Data
                 h, text, first = grams(b, n, lengths)
                 here = marked(table.value, h)
                 if here.any():
-                    yield passages(batch.column(0).slice(b.first, len(b)), b, h[here], text[here], first[here], width)
+                    yield passages(batch.column(0).slice(b.first, len(b)), batch.column(2).slice(b.first, len(b)), b, h[here], text[here], first[here], width)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, begin long, passage array<long>, seeds array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key()).mapInArrow(run, "doc_id long, text_key long, begin long, passage array<long>, seeds array<long>")
 
 
-def passages(ids, b, h, text, first, width) -> pa.RecordBatch:
-    """Passages of the block: doc_id, word number of the first word, words, and the seeds in them."""
+def passages(ids, keys, b, h, text, first, width) -> pa.RecordBatch:
+    """Passages of the block: doc_id, key of the text, word number of the first word, words, and the seeds in them."""
     order = np.lexsort((first, text))
     h, text, first = h[order], text[order], first[order]
     new = np.ones(len(h), bool)
@@ -135,8 +140,9 @@ def passages(ids, b, h, text, first, width) -> pa.RecordBatch:
         out_from.append(lo)
         out_words.append(W.int64(b.words[b.at[t] + lo:b.at[t] + hi]))
         out_seeds.append(W.int64(np.unique(h[s:e])))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(text[start])), pa.array(np.array(out_from, np.int64)), pa.array(out_words, pa.list_(pa.int64())), pa.array(out_seeds, pa.list_(pa.int64()))],
-                                      names=["doc_id", "begin", "passage", "seeds"])
+    at = pa.array(text[start])
+    return pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), pa.array(np.array(out_from, np.int64)), pa.array(out_words, pa.list_(pa.int64())), pa.array(out_seeds, pa.list_(pa.int64()))],
+                                      names=["doc_id", "text_key", "begin", "passage", "seeds"])
 
 
 def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +180,7 @@ def possible(batch: pa.RecordBatch, least: float) -> tuple[pa.RecordBatch, list[
 
 
 def align(pairs: DataFrame, least: float) -> DataFrame:
-    """doc_id, item_id, score, begin, end (words of the text up to where the alignment ends) of each pair (doc_id, item_id, begin, passage, words).
+    """doc_id, text_key, item, score, begin, end (words of the text up to where the alignment ends) of each pair (doc_id, text_key, item, begin, passage, words).
 
     Pairs that can't score ``least`` are left out: equal words give 2 each, so the
     share of the item's words that occur in the passage bounds the score.
@@ -195,27 +201,32 @@ def align(pairs: DataFrame, least: float) -> DataFrame:
                 score[some], end[some] = best / np.array([2 * len(lists[0][k]) for k in some]), where
                 i = j
             begin = batch.column("begin").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(score), pa.array(begin), pa.array(begin + end)], names=["doc_id", "item_id", "score", "begin", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), batch.column("item"), pa.array(score), pa.array(begin), pa.array(begin + end)], names=["doc_id", "text_key", "item", "score", "begin", "end"])
 
-    return pairs.select("doc_id", "item_id", "begin", "passage", "words").mapInArrow(run, "doc_id long, item_id long, score double, begin long, end long")
+    return pairs.select("doc_id", "text_key", "item", "begin", "passage", "words").mapInArrow(run, "doc_id long, text_key long, item long, score double, begin long, end long")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, item_id, score, n_passages of every document and item with an alignment of at least ``contaminated``."""
+def scored(docs: DataFrame, items: DataFrame, p: Params) -> DataFrame:
+    """doc_id, text_key, item, score, ... of every passage and item of ``items`` with an alignment of at least ``contaminated``."""
     sc = docs.sparkSession.sparkContext
-    items = cut_lineage(item_rows(benchmark, p))
+    items = cut_lineage(items.select("item", "words", "seeds").dropDuplicates(["item"]))
     size = items.agg(F.max(F.size("words")).alias("n"), F.collect_set(F.when(F.size("words") < p.ngram, F.size("words"))).alias("short")).first()
     width, lengths = int(1.25 * (size["n"] or 0)) + 4, sorted(size["short"])
-    seeds = items.select("item_id", F.explode("seeds").alias("hash")).distinct()
-    found = cut_lineage(hits(docs, sc.broadcast(bit_table(seeds)), p.ngram, lengths, width)
-                        .withColumn("id", F.monotonically_increasing_id()))
-    pairs = cut_lineage(found.select("id", F.explode("seeds").alias("hash")).join(seeds, "hash").select("id", "item_id").distinct())
-    pairs = pairs.join(found.select("id", "doc_id", "begin", "passage"), "id").join(items.select("item_id", "words"), "item_id")
-    scored = align(pairs, p.contaminated).where(F.col("score") >= p.contaminated)
-    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_passages"))
+    seeds = items.select("item", F.explode("seeds").alias("hash"))
+    found = cut_lineage(hits(docs, sc.broadcast(bit_table(seeds)), p.ngram, lengths, width).withColumn("id", F.monotonically_increasing_id()))
+    pairs = cut_lineage(found.select("id", F.explode("seeds").alias("hash")).join(seeds, "hash").select("id", "item").distinct())
+    pairs = pairs.join(found.select("id", "doc_id", "text_key", "begin", "passage"), "id").join(items.select("item", "words"), "item")
+    return align(pairs, p.contaminated).where(F.col("score") >= p.contaminated)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
+    """doc_id, item_id, score, n_passages of every document and item with an alignment of at least ``contaminated``."""
+    items = cut_lineage(item_rows(benchmark, p))
+    found = scored(docs, items, p).join(items.select("item", "item_id").distinct(), "item")
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_passages"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item.  A null doc_id is dropped only with all that share its text's match."""
-    bad = cut_lineage(matches(docs, benchmark, p).select("doc_id").distinct())
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]), "left_anti")
+    """``docs`` without the rows whose own text holds a benchmark item, whatever their doc_id."""
+    bad = cut_lineage(scored(docs, item_rows(benchmark, p), p).select("text_key").distinct())
+    return docs.join(bad, F.xxhash64(docs["text"].cast("string")) == bad["text_key"], "left_anti")

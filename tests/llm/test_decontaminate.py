@@ -28,3 +28,22 @@ def test_frequent_ngrams_alone_are_intact(spark):
     docs = spark.createDataFrame([(k, "a b c of other things") for k in range(30)] + [(50, "a b c x e y f"), (51, "x a b c e z f")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in decontaminate.matches(docs, bench).collect()}
     assert got[50] == pytest.approx(8 / 12) and got[51] == pytest.approx(8 / 12) and set(got) - {50, 51} == set(range(30))
+
+
+def test_shared_and_null_doc_ids(spark):
+    """Only rows with a match of their own go; rows with the same doc_id or none stay."""
+    bench = spark.createDataFrame([(1, " ".join(ITEM))], WORDS)
+    leak, fine = "before " + " ".join(ITEM), "nothing of it here"
+    docs = spark.createDataFrame([(None, leak), (None, fine), (None, None), (5, leak + " x"), (5, fine + " x"), (6, fine)], "doc_id long, text string")
+    kept = decontaminate.clean(docs, bench)
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [(None, fine), (None, None), (5, fine + " x"), (6, fine)]))
+
+
+def test_shared_and_null_item_ids(spark):
+    """Items are told apart by their texts, and one without an id is found too."""
+    other = [f"z{k}" for k in range(30)]
+    bench = spark.createDataFrame([(None, " ".join(ITEM)), (2, " ".join(other)), (2, "one two three four five"), (2, "one two three four five")], WORDS)
+    docs = spark.createDataFrame([(1, " ".join(ITEM)), (2, "x " + " ".join(other)), (3, "one two three four five"), (4, "nothing")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["n_passages"]) for r in decontaminate.matches(docs, bench).collect()}
+    assert got == {(1, None): (1.0, 1), (2, 2): (1.0, 1), (3, 2): (1.0, 1)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [4]
