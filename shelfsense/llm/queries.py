@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import decontaminate, fingerprints, language_model, mixing, near_dedup, page_text, quality, secret_scan, url_lists, warc
+from . import (decontaminate, fingerprints, language_model, mixing, near_dedup, page_text, periodic_runs, quality, secret_scan, url_lists,
+               warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +94,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order of all documents in which sources appear by the square root of their sizes."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, of which one in ten is edited to hold one."""
+    return periodic_runs.digests(periodic_runs.find(periodic_runs.planted(table(spark, sf_dir, "documents"))))
