@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import (decontaminate, fingerprints, language_model, mixing, near_dedup, page_text, periodic_runs, quality, secret_scan, url_lists,
+from . import (cross_tokens, decontaminate, fingerprints, language_model, line_dedup, mixing, near_dedup, page_text, periodic_runs, quality, secret_scan, url_lists,
                warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents, of which one in ten is edited to hold one."""
     return periodic_runs.digests(periodic_runs.find(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+@query("op12_line_dedup", line_dedup.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that an earlier document holds."""
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op11_cross_tokens")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by two tokenizers, their groups and links, and the corpus-wide counts of linked ids."""
+    found = cross_tokens.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    scored = cross_tokens.score(found.withColumn("groups_sha256", digest).drop("groups"), ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"])
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -13,15 +13,12 @@ from shelfsense.llm import periodic_runs as pr
 def brute(w):
     """All runs by trying each period on each maximal stretch."""
     out, n = {}, len(w)
+    code = np.unique(np.array([b"", *w], object), return_inverse=True)[1][1:]
     for q in range(1, n // 4 + 1):
-        i = 0
-        while i + q < n:
-            j = i
-            while j + q < n and w[j] == w[j + q]:
-                j += 1
-            if j > i and j + q - i >= max(6, 4 * q):
-                out.setdefault((i, j + q - i), q)
-            i = max(j, i + 1)
+        same = np.r_[False, code[q:] == code[:-q], False].astype(int)
+        for i, j in zip(np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1)):
+            if j + q - i >= max(6, 4 * q):
+                out.setdefault((int(i), int(j) + q), q)
     return sorted((s, length, q) for (s, length), q in out.items())
 
 
