@@ -11,7 +11,8 @@ Two targets are learnt so: ``quality`` (0 is junk) and ``toxic``.  A document is
 rejected if it is more likely junk than not, or more likely toxic than not.
 
 Fitting uses a bounded sample: about ``labelled`` labelled rows and ``pool``
-unlabelled ones, drawn by a hash of the id.  Scoring reads every whole text.
+unlabelled ones, drawn by a hash of the id.  The words with a weight are chosen from
+counts made in tasks; the driver gets those words only.  Scoring reads every whole text.
 
 Defined results: null text counts as empty, null metadata as a value of its own,
 a null id is unlabelled; labels that are null are ignored; a document labelled
@@ -31,18 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import words as W
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
 STYLE = 128 + 8
 META = 256
+TARGETS = ("bad", "toxic")
 
 
 @dataclass(frozen=True)
 class Params:
-    labelled: int = 8_000     # rows a fit may use, about
-    pool: int = 4_000         # unlabelled documents that the views label for each other, about
+    labelled: int = 10_000    # rows a fit may use, about
+    pool: int = 6_000         # unlabelled documents that the views label for each other, about
     rounds: int = 3
     grow: float = 0.1         # share of the pool that each view hands over in a round
     words: int = 400          # words with a weight in the text view
@@ -148,23 +151,29 @@ class Sample:
         self.turn = table.column("turn").to_numpy()
 
 
-def choose_words(s: Sample, rows: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+def training_rows(seen: dict[str, int], target: str) -> bool:
+    """Whether a fifth of the labelled rows can be left out of training for the calibration: both parts hold both labels."""
+    return all(seen[f"{target}_{y}_{part}"] for y in (0, 1) for part in ("train", "rest"))
+
+
+def choose_words(counts: DataFrame, target: str, seen: dict[str, int], most: int) -> np.ndarray:
     """Buckets that tell the labels apart best, by the likelihood ratio of their counts; at most ``most``."""
-    of = np.full(len(s.style), -1)
-    of[rows] = y > 0.5
-    pos, neg = (np.bincount(s.bucket[of[s.row] == k], minlength=BUCKETS).astype(float) for k in (1, 0))
-    share = float((y > 0.5).mean())
-    part = lambda seen, n: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(n, 1e-9)), 0)
-    ratio = 2 * (part(pos, (pos + neg) * share) + part(neg, (pos + neg) * (1 - share)))
-    ratio[pos + neg < 5] = 0
-    best = np.argsort(-ratio, kind="stable")[:most]
-    return best[ratio[best] > 25]
+    parts = ("train",) if training_rows(seen, target) else ("train", "rest")
+    n = [sum(seen[f"{target}_{y}_{part}"] for part in parts) for y in (0, 1)]
+    if not all(n):
+        return np.zeros(0, np.int64)
+    share = n[1] / sum(n)
+    pos, neg = F.col(f"{target}_1").cast("double"), F.col(f"{target}_0").cast("double")
+    part = lambda k, of: F.when(k > 0, k * F.log(k / (of * (pos + neg)))).otherwise(0.0)
+    ratio = 2 * (part(pos, share) + part(neg, 1 - share))
+    best = counts.where(pos + neg >= 5).select("bucket", ratio.alias("ratio")).where("ratio > 25").orderBy(F.desc("ratio"), "bucket").limit(most)
+    return np.array([r["bucket"] for r in best.collect()], np.int64)
 
 
 class Target:
     """A fitted target: weights of both views and their combination."""
 
-    def __init__(self, s: Sample, y: np.ndarray, p: Params):
+    def __init__(self, s: Sample, y: np.ndarray, words: np.ndarray, p: Params):
         known = np.flatnonzero(~np.isnan(y))
         self.constant = None
         if len(np.unique(y[known])) < 2:
@@ -175,7 +184,7 @@ class Target:
         if len(np.unique(y[train])) < 2 or len(np.unique(y[calibrate])) < 2:
             train = calibrate = known
         pool = np.flatnonzero(np.isnan(y))
-        self.words = choose_words(s, train, y[train], p.words)
+        self.words = words
         self.mean, self.scale = s.style[train].mean(axis=0), s.style[train].std(axis=0) + 0.05
         column = np.full(BUCKETS, -1)
         column[self.words] = np.arange(len(self.words))
@@ -232,10 +241,37 @@ def fit_targets(docs: DataFrame, labels: DataFrame, p: Params) -> dict[str, Targ
     rest = docs.where(turn < some(p.pool, n_docs)).join(labels.select("doc_id"), "doc_id", "left_anti")
     rows = with_label.unionByName(rest, allowMissingColumns=True).withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1000)))
 
+    rows = cut_lineage(rows.select("text", "lang", "source", "n_chars", "quality", "toxic", "turn", (1 - F.col("quality")).alias("bad")))
+    left_out = F.col("turn") % 5 == 0
+    seen = rows.agg(*[F.count_if((F.col(target) == y) & (left_out if part == "rest" else ~left_out)).alias(f"{target}_{y}_{part}")
+                      for target in TARGETS for y in (0, 1) for part in ("train", "rest")]).first().asDict()
+    every = {target: not training_rows(seen, target) for target in TARGETS}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many training texts of each label each word bucket is."""
+        total = np.zeros((len(TARGETS), 2, BUCKETS), np.int32)
+        for batch in batches:
+            trains = batch.column("turn").to_numpy() % 5 != 0
+            for first, style, buckets, at in text_features(batch.column("text")):
+                text = np.repeat(np.arange(first, first + len(style)), np.diff(at))
+                for k, target in enumerate(TARGETS):
+                    label = batch.column(target).fill_null(-1).to_numpy()
+                    for y in (0, 1):
+                        total[k, y] += np.bincount(buckets[((label == y) & (trains | every[target]))[text]], minlength=BUCKETS).astype(np.int32)
+        found = np.flatnonzero(total.any(axis=(0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(total[k, y, found].astype(np.int64)) for k in range(len(TARGETS)) for y in (0, 1))], ["bucket", *names])
+
+    names = [f"{target}_{y}" for target in TARGETS for y in (0, 1)]
+    counts = rows.select("text", "turn", *TARGETS).mapInArrow(count, "bucket long, " + ", ".join(f"{c} long" for c in names))
+    counts = cut_lineage(counts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]))
+    words = {target: choose_words(counts, target, seen, p.words) for target in TARGETS}
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[np.concatenate(list(words.values()))] = True
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             meta = meta_features(batch)
-            for first, style, buckets, at in text_features(batch.column("text")):
+            for first, style, buckets, at in text_features(batch.column("text"), wanted):
                 n = len(style)
                 lists = lambda x, width: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, n) for c in ("quality", "toxic", "turn")] + [
@@ -245,7 +281,7 @@ def fit_targets(docs: DataFrame, labels: DataFrame, p: Params) -> dict[str, Targ
     table = rows.select("text", "lang", "source", "n_chars", "quality", "toxic", "turn").mapInArrow(
         run, "quality int, toxic int, turn long, style array<float>, words array<int>, meta array<int>").toArrow()
     sample = Sample(table)
-    return {"bad": Target(sample, sample.bad, p), "toxic": Target(sample, sample.toxic, p)}
+    return {"bad": Target(sample, sample.bad, words["bad"], p), "toxic": Target(sample, sample.toxic, words["toxic"], p)}
 
 
 def wanted_buckets(targets: dict[str, Target]) -> np.ndarray:
