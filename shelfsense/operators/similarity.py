@@ -3,16 +3,26 @@
 Vectors are long tables ``(doc_id, term, weight)``; nothing is a dense
 matrix and nothing is collected.
 
-Similarity search (J03) is an *exact* thresholded all-pairs join with prefix
-filtering (Bayardo, Ma & Srikant, "Scaling up all pairs similarity search",
-WWW 2007).  Terms get a global order, rarest first.  For a unit vector x,
-the suffix of its terms whose norm is below the threshold t cannot reach t
-on its own, so every y with cos(x, y) >= t shares a *prefix* term of x.
-Only prefix terms are indexed; full vectors probe the index.  Prefixes hold
-rare terms, so the probed posting lists are short: the candidate set stays
-near the size of the answer instead of the per-term all-pairs product that a
-plain term self-join emits.  Candidates are verified by an exact dot
-product.  No cap on partners or candidates is applied.
+Similarity search (J03) is *exact*.  The terms of a vector are ordered rarest
+first; ``sfx`` of a term is the norm of the vector from that term on.  By
+Cauchy-Schwarz, what two vectors can still add to their dot product from a
+common term on is at most the product of their ``sfx`` there.  So
+
+* two vectors meet under a common term only where that product reaches
+  ``CUT`` times the threshold (:func:`meetings`).  The products under which
+  they meet add up to a part of the dot product, and what is missing is below
+  the bound of the last meeting: pairs whose part and bound together stay
+  below the threshold are gone, and few others are left;
+* with ``top_n`` the threshold rises for each item to the part of its n-th best
+  pair, and pairs that reach neither item's threshold go too;
+* what is left is verified by the whole dot product.
+
+A term with more than ``BLOCK`` postings is cut into salted blocks of similar
+``sfx``; block pairs that can't reach the cut are never met, and the others are
+joined one block pair at a time, so a brand or category that a third of all items
+share fills no task.  No cap on the vocabulary, on partners or on candidates is
+applied.  Many near copies of one item remain pairs of each other: their number
+grows with the square of the group, as the answer does.
 """
 
 from __future__ import annotations
@@ -24,7 +34,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from .ordering import global_index
+from ..session import cut_lineage
+
+#: share of the threshold down to which terms are met; a lower one meets more and verifies less
+CUT = 0.75
+#: postings of a term that one task may meet with each other
+BLOCK = 2048
+#: blocks of a frequent term hold norms within a factor of this
+STEP = 0.8
+#: room for rounding in bounds, and between equal scores when they are ranked
+SLACK = 2e-9
 
 TOKEN_PATTERN = r"([\p{L}\p{N}_]{2,})"
 
@@ -32,8 +51,7 @@ TOKEN_PATTERN = r"([\p{L}\p{N}_]{2,})"
 def tokens(text: Column, stopwords: Sequence[str] | None = L.STOPWORDS) -> Column:
     toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), 1)
     if stopwords:
-        sw = F.array(*[F.lit(w) for w in stopwords])
-        toks = F.filter(toks, lambda t: ~F.array_contains(sw, t))
+        toks = F.filter(toks, lambda t: ~t.isin(*stopwords))
     return toks
 
 
@@ -50,22 +68,17 @@ def ngrams(toks: Column, n_max: int = 2) -> Column:
 
 # ------------------------------------------------------------------ J01
 def tfidf(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, min_df: int = 2,
-          max_df: float | None = None, max_features: int | None = 12000, sublinear: bool = True,
+          max_df: float | None = None, max_features: int | None = None, sublinear: bool = True,
           stopwords: Sequence[str] | None = L.STOPWORDS) -> tuple[DataFrame, DataFrame]:
     """sklearn-compatible TF-IDF as long tables.
 
-    Returns ``(weights, vocab)``: weights = (id, term, tf, weight) L2-normalised
-    per document; vocab = (term, df, idf, term_rank) with term_rank 0 = rarest.
+    Returns ``(weights, vocab)``: weights = (doc_id, term, tf, df, weight) L2-normalised
+    per document; vocab = (term, df, idf).
     idf = ln((1 + n) / (1 + df)) + 1; tf = 1 + ln(count) when sublinear.
-    The vocabulary is the ``max_features`` most frequent terms (ties by
-    term); it is bounded by ``max_features`` and broadcast.
+    The vocabulary is all terms of at least ``min_df`` documents or, if asked for, the
+    ``max_features`` most frequent of them (ties by term).  Term counts are stored once.
     """
-    # tokens are materialised first: a lambda referencing the token expression
-    # would re-run the tokenizer once per element
-    docs = (df.select(F.col(id_col).alias("doc_id"), tokens(F.col(text), stopwords).alias("_tok"))
-              .select("doc_id", ngrams(F.col("_tok"), ngram_max).alias("_t")))
-    tf = (docs.select("doc_id", F.explode_outer("_t").alias("term")).where(F.col("term").isNotNull())
-              .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = cut_lineage(term_counts(df, id_col, text, ngram_max, stopwords))   # three readers
     n_docs = df.agg(F.count(F.lit(1)).alias("_n"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("freq"))
     stats = stats.crossJoin(F.broadcast(n_docs)).where(F.col("df") >= min_df)
@@ -74,15 +87,24 @@ def tfidf(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, min_df: int
     if max_features is not None:
         stats = stats.orderBy(F.desc("freq"), F.col("term")).limit(max_features)
     vocab = stats.select("term", "df", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    # global term order for prefix filtering: rarest first (distributed global index)
-    vocab = global_index(vocab, [F.col("df"), F.col("term")], "term_rank")
-    vjoin = F.broadcast(vocab) if max_features is not None else vocab
+    return weighted(tf, vocab, sublinear), vocab
+
+
+def term_counts(df: DataFrame, id_col: str, text: str, ngram_max: int, stopwords: Sequence[str] | None) -> DataFrame:
+    """(doc_id, term, tf).  Tokens are materialised first: a lambda referencing the token
+    expression would re-run the tokenizer once per element."""
+    docs = (df.select(F.col(id_col).alias("doc_id"), tokens(F.col(text), stopwords).alias("_tok"))
+              .select("doc_id", ngrams(F.col("_tok"), ngram_max).alias("_t")))
+    return (docs.select("doc_id", F.explode_outer("_t").alias("term")).where(F.col("term").isNotNull())
+                .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def weighted(tf: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
+    """Term counts as unit vectors (doc_id, term, tf, df, weight) over ``vocab``."""
     tfw = F.log(F.col("tf")) + 1 if sublinear else F.col("tf").cast("double")
-    w = tf.join(vjoin, "term").withColumn("_raw", tfw * F.col("idf"))
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    weights = w.join(norm, "doc_id").select("doc_id", "term", "tf", "term_rank",
-                                            (F.col("_raw") / F.col("_norm")).alias("weight"))
-    return weights, vocab
+    w = tf.join(vocab.select("term", "df", "idf"), "term").withColumn("_raw", tfw * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy("doc_id")))
+    return w.select("doc_id", "term", "tf", "df", (F.col("_raw") / norm).alias("weight"))
 
 
 # ------------------------------------------------------------------ J02
@@ -108,17 +130,6 @@ def weighted_corpus(df: DataFrame, brand: str = "brand", category: str = "catego
 
 
 # ------------------------------------------------------------------ J03
-def prefix_index(weights: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, term) pairs of each vector's prefix: terms (rarest first) up to the point
-    where the remaining suffix norm drops below ``threshold``."""
-    w = (Window.partitionBy("doc_id").orderBy(F.col("term_rank").desc())
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # suffix norm from this term to the most common one (inclusive)
-    sfx = weights.withColumn("_sfx", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w)))
-    # slightly inclusive bound: a longer prefix only adds candidates, never loses pairs
-    return sfx.where(F.col("_sfx") >= threshold - 1e-9).select("doc_id", "term")
-
-
 def dot_products(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """Exact cosine of given (a, b) pairs of unit vectors: join a's terms, then b's (a, term) keys."""
     wa = weights.select(F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa"))
@@ -127,34 +138,62 @@ def dot_products(pairs: DataFrame, weights: DataFrame) -> DataFrame:
                  .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")))
 
 
-def similar_pairs(weights: DataFrame, threshold: float = 0.20) -> DataFrame:
-    """All ordered (a, b), a != b, with cosine >= threshold, exactly.
-
-    The probe join accumulates the dot product over a's prefix terms while it
-    generates the candidates; the remaining suffix terms of a (norm < t, a
-    few common terms) are added for those candidates only.  A pair with
-    cos >= t is found from both sides, so both directions come out without
-    a mirror step.
-    """
-    w = (Window.partitionBy("doc_id").orderBy(F.col("term_rank").desc())
+def postings(weights: DataFrame, least: float) -> DataFrame:
+    """(doc, term, w, sfx, rest, df): the terms from which on a vector's norm (``sfx``) is at least
+    ``least``; ``rest`` is the norm after the term."""
+    w = (Window.partitionBy("doc_id").orderBy(F.col("df").desc(), F.col("term").desc())
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # two upper bounds of what a's suffix can add to any dot product: its norm
-    # (Cauchy-Schwarz) and sum(a_j * max weight of term j) -- the smaller one decides
-    maxw = weights.groupBy("term").agg(F.max("weight").alias("_maxw"))  # vocabulary-sized
-    sfx = (weights.join(F.broadcast(maxw), "term")
-                  .withColumn("_sfx", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w)))
-                  .withColumn("_mwb", F.sum(F.col("weight") * F.col("_maxw")).over(w)))
-    in_prefix = F.least(F.col("_sfx"), F.col("_mwb")) >= threshold - 1e-9
-    pre = sfx.where(in_prefix).select(F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa"))
-    suf = sfx.where(~in_prefix).select(F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa"))
-    probe = weights.select(F.col("doc_id").alias("b"), "term", F.col("weight").alias("wb"))
-    part1 = (pre.join(probe, "term").where(F.col("a") != F.col("b"))
-                .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("_s1")))
-    part2 = (part1.select("a", "b").join(suf, "a").join(probe, ["b", "term"])
-                  .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("_s2")))
-    sims = (part1.join(part2, ["a", "b"], "left")
-                 .select("a", "b", (F.col("_s1") + F.coalesce(F.col("_s2"), F.lit(0.0))).alias("sim")))
-    return sims.where(F.col("sim") >= threshold)
+    sfx = weights.withColumn("sfx2", F.sum(F.col("weight") * F.col("weight")).over(w))
+    rest2 = F.greatest(F.col("sfx2") - F.col("weight") * F.col("weight"), F.lit(0.0))
+    return sfx.select(F.col("doc_id").alias("doc"), "term", F.col("weight").alias("w"), F.sqrt("sfx2").alias("sfx"),
+                      F.sqrt(rest2).alias("rest"), "df").where(F.col("sfx") >= least)
+
+
+def meetings(p: DataFrame, cut: float) -> DataFrame:
+    """(a, b, part, rest) of all a < b that share a term under which the product of their ``sfx`` is at least
+    ``cut``: the dot product over such terms, and a bound of what is missing."""
+    side = lambda d, x: d.select(*[F.col(c).alias(f"{x}_{c}") for c in ("doc", "w", "sfx", "rest")],
+                                 *[F.col(c).alias(f"{x}_{c}") for c in d.columns if c not in ("doc", "w", "sfx", "rest", "df")])
+    near = F.col("a_sfx") * F.col("b_sfx") >= cut
+    few = p.where(F.col("df") <= BLOCK).drop("df")
+    met = [side(few, "a").join(side(few, "b"), (F.col("a_term") == F.col("b_term")) & (F.col("a_doc") < F.col("b_doc")) & near)]
+    # frequent terms: blocks of one level of sfx each, and only pairs of blocks that can reach the cut
+    many = p.where(F.col("df") > BLOCK).withColumn("level", F.greatest(F.floor(F.log("sfx") / math.log(STEP)), F.lit(0)).cast("int"))
+    size = many.groupBy("term", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    many = many.join(size, ["term", "level"]).withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).drop("df", "salts")
+    block = size.select("term", "level", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    left, right = (block.select(F.col("term"), F.struct("level", "salt").alias(x)) for x in ("x", "y"))
+    reach = F.pow(F.lit(STEP), F.col("x.level") + F.col("y.level")) >= cut
+    pair = left.join(right, "term").where((F.col("x") <= F.col("y")) & reach)
+    keyed = lambda x, y: pair.select("term", "x", "y", F.col(f"{x}.level").alias("level"), F.col(f"{x}.salt").alias("salt"))
+    a = side(many.join(keyed("x", "y"), ["term", "level", "salt"]).drop("level", "salt"), "a")
+    b = side(many.join(keyed("y", "x"), ["term", "level", "salt"]).drop("level", "salt"), "b")
+    one = (F.col("a_x") != F.col("a_y")) | (F.col("a_doc") < F.col("b_doc"))
+    met.append(a.join(b, (F.col("a_term") == F.col("b_term")) & (F.col("a_x") == F.col("b_x")) & (F.col("a_y") == F.col("b_y")) & one & near))
+    cols = [F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), (F.col("a_w") * F.col("b_w")).alias("part"),
+            (F.col("a_rest") * F.col("b_rest")).alias("rest")]
+    return met[0].select(cols).union(met[1].select(cols)).groupBy("a", "b").agg(F.sum("part").alias("part"), F.least(F.min("rest"), F.lit(cut)).alias("rest"))
+
+
+def both_ways(pairs: DataFrame, *cols: str) -> DataFrame:
+    return pairs.select("a", "b", *cols).union(pairs.select("b", "a", *cols))
+
+
+def similar_pairs(weights: DataFrame, threshold: float = 0.20, top_n: int | None = None) -> DataFrame:
+    """All ordered (a, b), a != b, with cosine >= threshold, exactly; with ``top_n`` at least those of the
+    ``top_n`` best of each item (ties included)."""
+    weights = cut_lineage(weights)
+    cut = CUT * threshold
+    found = meetings(postings(weights, cut), cut).where(F.col("part") + F.col("rest") >= threshold - SLACK)
+    if top_n is not None:
+        found = cut_lineage(found)
+        w = Window.partitionBy("a").orderBy(F.desc("part"))
+        nth = (both_ways(found, "part").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_n)
+               .groupBy("a").agg(F.when(F.count(F.lit(1)) == top_n, F.min("part")).otherwise(0.0).alias("nth")))
+        found = (found.join(nth.withColumnRenamed("nth", "nth_a"), "a").join(nth.select(F.col("a").alias("b"), F.col("nth").alias("nth_b")), "b")
+                      .where(F.col("part") + F.col("rest") >= F.least("nth_a", "nth_b") - SLACK))
+    found = cut_lineage(found.select("a", "b"))
+    return both_ways(dot_products(found, weights).where(F.col("sim") >= threshold), "sim")
 
 
 def similar_products(weights: DataFrame, attrs: DataFrame | None = None, id_col: str = "product_id",
@@ -162,7 +201,7 @@ def similar_products(weights: DataFrame, attrs: DataFrame | None = None, id_col:
                      boost: float = 1.2) -> DataFrame:
     """Top-n neighbours per product by raw cosine >= threshold (self excluded); the shown
     score is x boost (capped at 1) for the same category, ranking stays on the raw score."""
-    pairs = similar_pairs(weights, threshold)
+    pairs = similar_pairs(weights, threshold, top_n)
     w = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), F.col("b"))
     top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     if attrs is not None:
@@ -180,15 +219,7 @@ def similar_products(weights: DataFrame, attrs: DataFrame | None = None, id_col:
 def query_vectors(queries: DataFrame, q_id: str, text: str, vocab: DataFrame, ngram_max: int = 2,
                   sublinear: bool = True, stopwords: Sequence[str] | None = L.STOPWORDS) -> DataFrame:
     """Transform query texts into the catalogue's TF-IDF space (catalogue idf)."""
-    toks = (queries.select(F.col(q_id).alias("doc_id"), tokens(F.col(text), stopwords).alias("_tok"))
-                   .select("doc_id", ngrams(F.col("_tok"), ngram_max).alias("_t")))
-    tf = toks.select("doc_id", F.explode_outer("_t").alias("term")).where(F.col("term").isNotNull()).groupBy("doc_id", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
-    tfw = F.log(F.col("tf")) + 1 if sublinear else F.col("tf").cast("double")
-    w = tf.join(F.broadcast(vocab.select("term", "idf", "term_rank")), "term").withColumn("_raw", tfw * F.col("idf"))
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return w.join(norm, "doc_id").select("doc_id", "term", "tf", "term_rank",
-                                         (F.col("_raw") / F.col("_norm")).alias("weight"))
+    return weighted(term_counts(queries, q_id, text, ngram_max, stopwords), vocab, sublinear)
 
 
 def similar_to_text(qvec: DataFrame, catalogue: DataFrame, top_n: int = 5, pool_factor: int = 15,
@@ -352,7 +383,3 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedd
 def term_weights(weights: DataFrame, n: int = 10) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), F.col("term"))
     return weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
-def log2(x: float) -> float:
-    return math.log(x, 2)

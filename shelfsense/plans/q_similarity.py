@@ -9,6 +9,7 @@ from .. import binding as b
 from ..functions import lexicons as L
 from ..operators import safety
 from ..operators import similarity as sim
+from ..session import cut_lineage
 from .q_flagship import ANALYSIS_SQL, analysis_frame
 from .q_safety import HIT_TERMS
 from .registry import register
@@ -30,7 +31,7 @@ def _tfidf_sql(src: str, id_expr: str, text_expr: str, prefix: str = "") -> str:
 {p}vocab AS (
   SELECT term, df, ln((1 + (SELECT count(*) FROM {src})) / (1 + df)) + 1 AS idf FROM (
     SELECT term, count(*) AS df, sum(tf) AS freq FROM {p}tf GROUP BY term)
-  WHERE df >= 2 ORDER BY freq DESC, term LIMIT 12000),
+  WHERE df >= 2),
 {p}raw AS (SELECT doc_id, term, (ln(tf) + 1) * idf AS w FROM {p}tf JOIN {p}vocab USING (term)),
 {p}wt AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM {p}raw)"""
 
@@ -65,27 +66,16 @@ def corpus_frame(spark, sf_dir):
     return sim.weighted_corpus(p)
 
 
-def weights_frame(spark, sf_dir, materialize: bool = True):
-    """TF-IDF weights and vocabulary.
-
-    The similarity plans read the weights 4-6 times (prefix, probe, suffix,
-    scoring); with ``materialize`` the vocabulary and then the weights are
-    written once to the shared checkpoint folder (reliable checkpoints), so
-    every reader uses one computed copy that survives executor loss."""
-    corpus = corpus_frame(spark, sf_dir)
-    w, vocab = sim.tfidf(corpus, "product_id", "corpus")
-    if not materialize:
-        return w, vocab
-    from ..session import cut_lineage
-    vocab = cut_lineage(vocab)
-    w = sim.query_vectors(corpus, "product_id", "corpus", vocab)  # same weights, from the stored vocabulary
+def weights_frame(spark, sf_dir):
+    """TF-IDF weights, stored once in the shared checkpoint folder for their several readers, and the vocabulary."""
+    w, vocab = sim.tfidf(corpus_frame(spark, sf_dir), "product_id", "corpus")
     return cut_lineage(w), vocab
 
 
 @register("tfidf", sql=b.with_ctes(TFIDF_SQL) + f"""
 SELECT doc_id, term, {b.rnd('weight', 6)} AS weight FROM wt""")
 def q_tfidf(spark, sf_dir):
-    w, _ = weights_frame(spark, sf_dir, materialize=False)
+    w, _ = sim.tfidf(corpus_frame(spark, sf_dir), "product_id", "corpus")
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -99,7 +89,7 @@ SELECT doc_id, term, CAST(rank AS INTEGER) AS rank, {b.rnd('weight', 6)} AS weig
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS rank FROM wt)
 WHERE rank <= 10""")
 def q_term_weights(spark, sf_dir):
-    w, _ = weights_frame(spark, sf_dir, materialize=False)
+    w, _ = sim.tfidf(corpus_frame(spark, sf_dir), "product_id", "corpus")
     t = sim.term_weights(w, 10)
     return t.select("doc_id", "term", "rank", F.round("weight", 6).alias("weight"))
 
@@ -151,13 +141,13 @@ def q_similar_to_text(spark, sf_dir):
 SAFE_TERMS_SQL = "[" + ", ".join(q(t) for t in HIT_TERMS) + "]"
 
 
-@register("safe_alternatives", sql=b.with_ctes(PAIRS_SQL) + _ranked_sql(75) + f""",
+@register("safe_alternatives", sql=b.with_ctes(PAIRS_SQL) + f""",
 attrs AS (SELECT p.product_id, p.category,
                  NOT list_bool_or([contains(lower(coalesce(i.ingredients, '')), w) for w in {SAFE_TERMS_SQL}]) AS is_safe
           FROM products p LEFT JOIN ingredients i USING (product_id)),
-j AS (SELECT r.product_id AS query_id, r.similar_id AS item_id, r.sim, a.category, qa.category AS query_category,
+j AS (SELECT r.a AS query_id, r.b AS item_id, r.sim, a.category, qa.category AS query_category,
              CAST(a.category = qa.category AS INTEGER) AS same
-      FROM ranked r JOIN attrs a ON a.product_id = r.similar_id JOIN attrs qa ON qa.product_id = r.product_id
+      FROM pairs r JOIN attrs a ON a.product_id = r.b JOIN attrs qa ON qa.product_id = r.a
       WHERE a.is_safe),
 j2 AS (SELECT *, max(same) OVER (PARTITION BY query_id) AS any_same FROM j),
 j3 AS (SELECT * FROM j2 WHERE any_same = 0 OR same = 1)
@@ -167,8 +157,8 @@ SELECT query_id, item_id, CASE WHEN any_same = 1 THEN 'same_category' ELSE 'any_
 WHERE alt_rank <= 5""")
 def q_safe_alternatives(spark, sf_dir):
     w, _ = weights_frame(spark, sf_dir)
-    pool = sim.similar_products(w, top_n=75).select(F.col("product_id").alias("query_id"),
-                                                    F.col("similar_id").alias("item_id"), "sim")
+    # every similar item, not the best few: an item whose nearest ones are unsafe still gets its safe ones
+    pool = sim.similar_pairs(w).select(F.col("a").alias("query_id"), F.col("b").alias("item_id"), "sim")
     prods = b.products(spark, sf_dir).join(b.ingredients(spark, sf_dir).select("product_id", "ingredients"),
                                            "product_id", "left")
     attrs = safety.safe_flags(prods, "ingredients", HIT_TERMS).select("product_id", "is_safe", "category")
