@@ -6,6 +6,12 @@ tokens into groups; a link is a pair of one A and one B token whose byte ranges
 overlap.  Both cover the text without gaps, so the links are the stretches between
 neighbouring ends of either.
 
+A text is read in units: stretches that begin with white space before which there is
+none.  A splits there by its pattern, and B has no piece with a space after
+another character (both checked; if not, a text is one unit).  So the tokens of a
+text are those of its units, and so are groups and links; units are aligned in
+batches, and short ones remembered.
+
 :func:`score` finds in how many documents each id pair is linked, and returns that
 to the documents:
 
@@ -20,8 +26,8 @@ to the documents:
    gives its document the count, once for each link that its planes tell
    (:func:`hand_back`), summed by container and then by document.
 
-The alignment is computed once and written, without the tokens, as a table in the
-shared folder that the session names.  The best count of each A id is a table of at
+The alignment is computed once and written, without the links, as a table in the
+shared folder that the session names; the groups may be kept as their SHA-256.  The best count of each A id is a table of at
 most as many rows as A has ids.
 
 A's merges are made in the order of ids (checked; if not, the slower library is
@@ -36,7 +42,9 @@ never cut.  Columns of the caller other than ``keep`` aren't read.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -48,20 +56,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 
 CONTAINER = 1 << 16
 #: links that a task holds before it inverts them
-HELD = 1 << 22
+HELD = 1 << 21
 #: texts that are cut into tokens at a time, in bytes
 BLOCK_BYTES = 1 << 20
+#: units that are remembered, and their characters at most
+KNOWN, SHORT = 1 << 17, 64
 #: bytes of a bitmap of plain bits
 BITS = CONTAINER // 8
 #: pairs (about 40 bytes each) that every executor may hold
 BROADCAST_PAIRS = 1 << 20
 
 
+#: n_a, n_b, n_groups, groups (each followed by ``;``), links
+Unit = tuple[int, int, int, bytes, np.ndarray]
+
+
 @dataclass(frozen=True)
 class Tokenizers:
     """Files of the tokenizers, readable on every machine."""
@@ -138,10 +153,63 @@ class Side:
         return cls(token, np.array([len(t) for t in token], np.int64), [b"%d%s" % (i, s) for s in separators for i in range(len(token))])
 
 
+class Aligner:
+    """Both tokenizers, and the alignments of units seen before."""
+
+    def __init__(self, files: Tokenizers):
+        self.a, self.b = ByteLevel(files.a), Pieces(files.b)
+        self.side_a, self.side_b = Side.of(self.a.token, b",", b"|"), Side.of(self.b.token, b",", b";")
+        split = self.a.fast is not None and not any(re.search("[^▁]▁", self.b.model.id_to_piece(i)) for i in range(len(self.b.token)))
+        self.cut = re.compile(r"(?<=\S)(?= +\S)" if split else r"(?!)")
+        self.known: dict[str, Unit | None] = {}
+
+    def of(self, texts: list[str]) -> list[list[Unit]]:
+        """The aligned units of each text; none where a text is empty or some unit's bytes aren't given back."""
+        if len(self.known) > KNOWN:
+            self.known = {}
+        units = [self.cut.split(" " + t) if t else [] for t in texts]
+        missing = list({u for t in units for u in t if u not in self.known})
+        fresh = dict(zip(missing, self.learn(missing)))
+        self.known.update((u, x) for u, x in fresh.items() if len(u) <= SHORT)
+        known = self.known if all(len(u) <= SHORT for u in missing) else self.known | fresh
+        found = [[known[u] for u in t] for t in units]
+        return [[] if None in t else t for t in found]
+
+    def learn(self, units: list[str]) -> list[Unit | None]:
+        """Alignments of units, each of which begins with a space; all at once, as their ends are ends of tokens of both."""
+        ids_a, ids_b = [self.a.encode(u) for u in units], self.b.encode([u[1:] for u in units])
+        token_a, token_b = self.side_a.token, self.side_b.token
+        right = []
+        for u, x, y in zip(units, ids_a, ids_b):
+            data = u.encode()
+            right.append(b"".join([token_a[i] for i in x.tolist()]) == data and b"".join([token_b[i] for i in y]) == data)
+        if not any(right):
+            return [None] * len(units)
+        a = np.concatenate([x for x, ok in zip(ids_a, right) if ok])
+        b = np.concatenate([np.array(y, np.int64) for y, ok in zip(ids_b, right) if ok])
+        at_a, at_b, closes_a, closes_b = aligned(a, b, self.side_a.size, self.side_b.size)
+        words = written(a, b, closes_a, closes_b, self.side_a.words, self.side_b.words)
+        links = (a[at_a] << 32) + b[at_b]
+        end_a = np.cumsum([len(x) for x, ok in zip(ids_a, right) if ok])
+        end_b = np.cumsum([len(y) for y, ok in zip(ids_b, right) if ok])
+        end_link = np.searchsorted(at_a, end_a)     # links of a unit: those of its A tokens
+        n_groups = np.cumsum(closes_a)[end_a - 1]
+        out, was = [], (0, 0, 0, 0)
+        ends = zip(end_a.tolist(), end_b.tolist(), n_groups.tolist(), end_link.tolist())
+        for ok in right:
+            if not ok:
+                out.append(None)
+                continue
+            now = next(ends)
+            n = [y - x for x, y in zip(was, now)]
+            out.append((n[0], n[1], n[2], b"".join(words[was[0] + was[1]:now[0] + now[1]]), links[was[3]:now[3]].copy()))
+            was = now
+        return out
+
+
 @lru_cache(maxsize=1)
-def loaded(files: Tokenizers) -> tuple[ByteLevel, Pieces, Side, Side]:
-    a, b = ByteLevel(files.a), Pieces(files.b)
-    return a, b, Side.of(a.token, b",", b"|"), Side.of(b.token, b",", b";")
+def loaded(files: Tokenizers) -> Aligner:
+    return Aligner(files)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,57 +221,54 @@ def aligned(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray
     return np.searchsorted(end_a, ends), np.searchsorted(end_b, ends), closes_a, closes_b
 
 
-def written(a: np.ndarray, b: np.ndarray, closes_a: np.ndarray, closes_b: np.ndarray, words_a: list[bytes], words_b: list[bytes], n_a: int, n_b: int) -> bytes:
-    """The groups as ``a1,a2|b1;a3|b2,b3``."""
+def written(a: np.ndarray, b: np.ndarray, closes_a: np.ndarray, closes_b: np.ndarray, words_a: list[bytes], words_b: list[bytes]) -> list[bytes]:
+    """The groups as parts of ``a1,a2|b1;a3|b2,b3;``: one for each token, A's of a group before B's."""
     group_a, group_b = np.r_[0, np.cumsum(closes_a)[:-1]], np.r_[0, np.cumsum(closes_b)[:-1]]
     code = np.empty(len(a) + len(b), np.int64)
-    code[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + n_a * closes_a
-    code[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = -1 - (b + n_b * closes_b)
-    return b"".join([words_a[c] if c >= 0 else words_b[-1 - c] for c in code.tolist()])[:-1]
-
+    code[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + len(words_a) // 2 * closes_a
+    code[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = -1 - (b + len(words_b) // 2 * closes_b)
+    return [words_a[c] if c >= 0 else words_b[-1 - c] for c in code.tolist()]
 
-ADDED = "n_a long, n_b long, n_groups long, groups string, links array<long>"
 
+ALIGNED = pa.schema([("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))])
 
-def align(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", files: Tokenizers = Tokenizers()) -> DataFrame:
-    """The columns ``keep``, n_a, n_b, n_groups, the groups (as :func:`written`) and the links, each as ``a * 2**32 + b``, in text order."""
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = T.StructType([*docs.select(*keep).schema.fields, *T._parse_datatype_string(ADDED).fields])
 
+def aligner(files: Tokenizers, digest: bool):
+    """Batches (..., text) to batches (..., n_a, n_b, n_groups, groups, links)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder_a, coder_b, side_a, side_b = loaded(files)
-
-        def one(text: str, ids_b: list[int]) -> tuple[int, int, int, bytes, np.ndarray]:
-            data = b" " + text.encode()
-            a, b = coder_a.encode(" " + text), np.array(ids_b, np.int64)
-            if not text or b"".join([side_a.token[i] for i in a.tolist()]) != data or b"".join([side_b.token[i] for i in ids_b]) != data:
-                return 0, 0, 0, b"", np.zeros(0, np.int64)
-            at_a, at_b, closes_a, closes_b = aligned(a, b, side_a.size, side_b.size)
-            groups = written(a, b, closes_a, closes_b, side_a.words, side_b.words, len(side_a.token), len(side_b.token))
-            return len(a), len(b), int(closes_a.sum()), groups, (a[at_a] << 32) + b[at_b]
-
+        tool = loaded(files)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             first, size = 0, np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in column.cast(pa.binary())])
             while first < len(column):
                 end = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + BLOCK_BYTES, "right")))
-                texts = [x or "" for x in column.slice(first, end - first).to_pylist()]
-                done = [one(t, b) for t, b in zip(texts, coder_b.encode(texts))]
-                links = pa.ListArray.from_arrays(np.cumsum([0, *(len(x[4]) for x in done)]).astype(np.int32), pa.array(np.concatenate([x[4] for x in done])))
-                added = [pa.array([x[k] for x in done], pa.int64()) for k in range(3)] + [pa.array([x[3] for x in done], pa.binary()).cast(pa.string()), links]
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns[:-1]), *added], [*keep, "n_a", "n_b", "n_groups", "groups", "links"])
+                found = tool.of([x or "" for x in column.slice(first, end - first).to_pylist()])
+                counts = [pa.array([sum([u[k] for u in t]) for t in found], pa.int64()) for k in range(3)]
+                groups = [b"".join([u[3] for u in t])[:-1] for t in found]
+                if digest:
+                    groups = [hashlib.sha256(x).hexdigest().encode() if x else b"" for x in groups]
+                links = [u[4] for t in found for u in t]
+                at = np.cumsum([0, *(sum([len(u[4]) for u in t]) for t in found)])
+                added = [*counts, pa.array(groups, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(np.concatenate(links) if links else np.zeros(0, np.int64)))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns[:-1]), *added], [*batch.schema.names[:-1], *ALIGNED.names])
                 first = end
+    return run
+
 
-    return rows.mapInArrow(run, schema)
+def align(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", files: Tokenizers = Tokenizers()) -> DataFrame:
+    """The columns ``keep``, n_a, n_b, n_groups, the groups (as ``a1,a2|b1;a3|b2,b3``) and the links, each as ``a * 2**32 + b``, in text order."""
+    schema = T.StructType([*docs.select(*keep).schema.fields, *from_arrow_schema(ALIGNED).fields])
+    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(aligner(files, False), schema)
 
 
 def planes(link: np.ndarray, doc: np.ndarray) -> dict[str, pa.Array]:
     """Bitmaps of the documents (16-bit numbers) of each link: pair, number of documents and of links, a bitmap for each bit of multiplicity."""
-    order = np.lexsort((doc, link))
-    link, doc = link[order], doc[order]
-    new = np.flatnonzero(np.r_[True, (link[1:] != link[:-1]) | (doc[1:] != doc[:-1])])
-    times = np.diff(np.r_[new, len(link)])
-    link, doc = link[new], doc[new].astype(np.uint16)
+    key = (link >> 32 << 20 | link & 0xFFFFFFFF) << 16 | doc     # ids of A below 2**27, of B below 2**20
+    key.sort()
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    times = np.diff(np.r_[new, len(key)])
+    key = key[new]
+    link, doc = key >> 36 << 32 | key >> 16 & 0xFFFFF, (key & 0xFFFF).astype(np.uint16)
     first = np.flatnonzero(np.r_[True, link[1:] != link[:-1]])
     pair = np.cumsum(np.r_[True, link[1:] != link[:-1]]) - 1
     n_planes = int(times.max()).bit_length()
@@ -230,13 +295,10 @@ def members(bitmap: bytes) -> np.ndarray:
 POSTINGS = "container long, link long, n_docs long, n_times long, planes array<binary>"
 
 
-def invert(found: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Rows of two kinds: documents (container, doc, ``keep``, n_links) and postings (container, link, n_docs, n_times, planes)."""
-    kept = found.select(*keep).schema.fields
-    schema = T.StructType([*T._parse_datatype_string(POSTINGS).fields, T.StructField("doc", T.IntegerType()), T.StructField("n_links", T.LongType()), *kept])
-
+def inverter(schema: T.StructType, keep: Sequence[str]):
+    """Batches (``keep``, n_a, n_b, n_groups, groups, links) to rows of two kinds: documents (container, doc, n_links and
+    all but the links) and postings (container, link, n_docs, n_times, planes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
         out = to_arrow_schema(schema)
         base, seen = TaskContext.get().partitionId() << 32, 0
         links: list[np.ndarray] = []
@@ -258,20 +320,28 @@ def invert(found: DataFrame, keep: Sequence[str]) -> DataFrame:
             while row < batch.num_rows:
                 n = min(batch.num_rows - row, CONTAINER - seen % CONTAINER)
                 part = batch.slice(row, n)
-                column = part.column(0)
+                column = part.column(part.num_columns - 1)
                 size = np.diff(column.offsets.to_numpy())
                 number = np.arange(seen, seen + n) % CONTAINER
                 container = base + seen // CONTAINER
                 links.append(column.flatten().to_numpy())
                 docs.append(np.repeat(number.astype(np.uint16), size))
                 held, seen, row = held + len(links[-1]), seen + n, row + n
-                yield batch_of({"container": pa.array(np.full(n, container)), "doc": pa.array(number), "n_links": pa.array(size)} | dict(zip(keep, part.columns[1:])), n)
+                yield batch_of({"container": pa.array(np.full(n, container)), "doc": pa.array(number), "n_links": pa.array(size)} | dict(zip(part.schema.names[:-1], part.columns)), n)
                 if held and (held >= HELD or seen % CONTAINER == 0):
                     yield postings()
         if held:
             yield postings()
 
-    return found.select("links", *keep).mapInArrow(run, schema)
+    return run
+
+
+def invert(docs: DataFrame, keep: Sequence[str], text: str, files: Tokenizers, digest: bool) -> DataFrame:
+    """Alignment and inverted index in one pass: the links of a document stay in the task."""
+    kept = [*docs.select(*keep).schema.fields, *from_arrow_schema(ALIGNED).fields[:-1]]
+    schema = T.StructType([*T._parse_datatype_string(POSTINGS).fields, T.StructField("doc", T.IntegerType()), T.StructField("n_links", T.LongType()), *kept])
+    first, then = aligner(files, digest), inverter(schema, keep)
+    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(lambda batches: then(first(batches)), schema)
 
 
 def pairs(postings: DataFrame) -> DataFrame:
@@ -324,11 +394,13 @@ def hand_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def score(found: DataFrame, keep: Sequence[str], broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """The columns ``keep`` of ``found`` (links, ...), n_links, n_best and count_sum of each document."""
-    spark = found.sparkSession
+def score(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", files: Tokenizers = Tokenizers(), digest: bool = False,
+          broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """The columns ``keep`` of ``docs``, n_a, n_b, n_groups, groups (with ``digest`` the SHA-256 of what isn't empty), n_links, n_best and count_sum."""
+    spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/alignment-{uuid.uuid4().hex}"
-    table = invert(found, keep)
+    keep = [*keep, "n_a", "n_b", "n_groups", "groups"]
+    table = invert(docs, keep[:-4], text, files, digest)
     table.write.parquet(folder)
     table = spark.read.schema(table.schema).parquet(folder)
     docs = table.where("doc is not null").select("container", "doc", "n_links", *keep)

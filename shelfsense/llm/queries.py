@@ -113,7 +113,5 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_cross_tokens")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents by two tokenizers, their groups and links, and the corpus-wide counts of linked ids."""
-    found = cross_tokens.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-    scored = cross_tokens.score(found.withColumn("groups_sha256", digest).drop("groups"), ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"])
-    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    found = cross_tokens.score(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
