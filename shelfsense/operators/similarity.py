@@ -252,51 +252,112 @@ def safe_alternatives(pool: DataFrame, attrs: DataFrame, id_col: str = "item_id"
 
 
 # ------------------------------------------------------------------ J07
-def recommendations(similar: DataFrame, analysis: DataFrame, keys: Sequence[str] = ("dealer_id",),
-                    id_col: str = "product_id", category: str = "category", top_n: int = 10,
-                    similar_n: int = 20, category_n: int = 30) -> DataFrame:
-    """Candidates = similar items (<= similar_n) U category leaders (top category_n by priority
-    in the tenant's category); dedup with source priority; additive score; top_n.
-
-    Category leaders are ranked once per (tenant, category) and joined by
-    category, so each product gets at most ``category_n`` rows -- never a
-    product x category cross product."""
+#: fixed values: ranks of the risk levels
+RISK_RANK = (("high", 3), ("medium", 2), ("low", 1), ("none", 0))
+
+
+def recommendation_candidates(similar: DataFrame, items: DataFrame, keys: Sequence[str], id_col: str, category: str,
+                              similar_n: int, pool_n: int) -> DataFrame:
+    """(keys, query_id, cand_id, c): candidates of each item, some of them more than once; ``c`` holds a candidate's columns.
+
+    Similar items, then the first ``pool_n`` of the item's category by priority; with fewer than 5 of these
+    (an item in both counts twice) the first ``pool_n`` of the tenant; with fewer than 3 of all these the first ones
+    whatever their risk.  Only the last stage takes high-risk items, which are never recommended.  How many
+    each stage gives is known from counts per category and tenant, so a stage is only joined for items that open it.
+    Leaders are ranked once per category and tenant; an item joins ``pool_n`` + 1 of them, itself perhaps included."""
+    k = list(keys)
+    c = items.select(*k, F.col(id_col).alias("cand_id"), F.struct(*[x for x in items.columns if x not in (*k, id_col)]).alias("c"))
+    safe = F.coalesce(F.col("c.risk_level") != "high", F.lit(True))
+    t = items.select(*k, F.col(id_col).alias("query_id"), F.col(category).alias("_cat"),
+                     F.coalesce(F.col("risk_level") != "high", F.lit(True)).cast("int").alias("_safe"))
+    sim = (similar.where(F.col("rank") <= similar_n).select(F.col("product_id").alias("query_id"), F.col("similar_id").alias("cand_id"))
+                  .join(t.select(*k, "query_id"), "query_id").join(c.where(safe), [*k, "cand_id"]))
+
+    def leaders(of: DataFrame, by: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*k, *by).orderBy(F.col("c.priority_score").desc_nulls_last(), "cand_id")
+        return of.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= pool_n + 1)
+
+    def joined(who: DataFrame, lead: DataFrame, on) -> DataFrame:
+        """The leaders but the item itself; the last one only where the item is among them."""
+        mine = Window.partitionBy(*[who[x] for x in k], "query_id")
+        j = who.join(lead.select(*[F.col(x).alias(f"_{x}") for x in k], *[x for x in lead.columns if x not in k]), on)
+        j = j.withColumn("_among", F.max((F.col("cand_id") == F.col("query_id")).cast("int")).over(mine))
+        return j.where((F.col("cand_id") != F.col("query_id")) & (F.col("_place") <= pool_n + F.col("_among"))).select(*k, "query_id", "cand_id", "c")
+
+    same = lambda who: [who[x] == F.col(f"_{x}") for x in k]
+    by_cat = c.where(safe).withColumn("_lead_cat", F.col(f"c.{category}"))
+    cat = joined(t, leaders(by_cat, ["_lead_cat"]), [*same(t), F.col("_cat").eqNullSafe(F.col("_lead_cat"))])
+    n_cat = by_cat.groupBy(*[F.col(x).alias(f"_{x}") for x in k], "_lead_cat").agg(F.count(F.lit(1)).alias("_n_cat"))
+    n_safe = c.where(safe).groupBy(*k).agg(F.count(F.lit(1)).alias("_n_safe"))
+    n_sim = sim.groupBy(*k, "query_id").agg(F.count(F.lit(1)).alias("_n_sim"))
+    n = (t.join(n_cat, [*same(t), F.col("_cat").eqNullSafe(F.col("_lead_cat"))], "left").drop("_lead_cat", *[f"_{x}" for x in k])
+          .join(n_sim, [*k, "query_id"], "left").join(n_safe, k, "left").fillna(0, ["_n_cat", "_n_sim", "_n_safe"]))
+    pool = lambda x: F.least(F.lit(pool_n), F.greatest(F.col(x) - F.col("_safe"), F.lit(0)))
+    n = n.withColumn("_have", F.col("_n_sim") + pool("_n_cat")).where("_have < 5").withColumn("_have", F.col("_have") + pool("_n_safe"))
+    wide = n.select(*k, "query_id", "_have")
+    any_safe = joined(wide, leaders(c.where(safe), []), same(wide))
+    last = wide.where("_have < 3")
+    return (sim.select(*k, "query_id", "cand_id", "c").unionByName(cat).unionByName(any_safe)
+               .unionByName(joined(last, leaders(c, []), same(last))))
+
+
+def recommendations(similar: DataFrame, items: DataFrame, keys: Sequence[str] = ("dealer_id",), id_col: str = "product_id",
+                    category: str = "category", skin: str = "skin_type", top_n: int = 5, similar_n: int = 20, pool_n: int = 30) -> DataFrame:
+    """The ``top_n`` best candidates of each item by a score relative to the item, never of high risk.
+
+    ``items``: keys, id, category, skin, priority_score, risk_level, forecast_trend, avg_rating, stock_status and
+    avg_monthly (mean units of its sales).  Equal scores are ranked by id.  Candidates that several stages
+    give have one score, so they share a dense rank and are made one after the cut."""
     k = list(keys)
-    a = analysis
-    sim = (similar.where(F.col("rank") <= similar_n)
-                  .select(F.col("product_id").alias("query_id"), F.col("similar_id").alias("cand_id"),
-                          F.lit(1).alias("source"), F.col("sim")))
-    q = a.select(*k, F.col(id_col).alias("query_id"), F.col(category).alias("_qcat"))
-    sim = sim.join(q, "query_id")
-    lw = Window.partitionBy(*k, category).orderBy(F.desc("priority_score"), F.col(id_col))
-    leaders = (a.withColumn("_lr", F.row_number().over(lw)).where(F.col("_lr") <= category_n)
-                .select(*k, F.col(category).alias("_qcat"), F.col(id_col).alias("cand_id")))
-    cat = (q.join(leaders, [*k, "_qcat"]).where(F.col("query_id") != F.col("cand_id"))
-            .withColumn("source", F.lit(2)).withColumn("sim", F.lit(None).cast("double")))
-    cand = sim.unionByName(cat)
-    dw = Window.partitionBy(*k, "query_id", "cand_id").orderBy("source")
-    cand = cand.withColumn("_d", F.row_number().over(dw)).where("_d = 1").drop("_d")
-    c = a.select(*k, F.col(id_col).alias("cand_id"), F.col(category).alias("_ccat"), "forecast_trend",
-                 "safety_score", "avg_rating", "stock_status", "demand_change_pct")
-    j = cand.join(c, [*k, "cand_id"])
+    cand = recommendation_candidates(similar, items, k, id_col, category, similar_n, pool_n).where(
+        F.coalesce(F.col("c.risk_level") != "high", F.lit(True)))
+    t = items.select(*k, F.col(id_col).alias("query_id"), F.struct(*[x for x in items.columns if x not in (*k, id_col)]).alias("t"))
+    j = cand.join(t, [*k, "query_id"])
+    rank = lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in RISK_RANK for v in kv]), F.col(f"{x}.risk_level")), F.lit(0))
+    ours, theirs = F.coalesce("t.avg_monthly", F.lit(0.0)), F.coalesce("c.avg_monthly", F.lit(0.0))
+    rating, own_rating = F.coalesce("c.avg_rating", F.lit(0.0)), F.coalesce("t.avg_rating", F.lit(0.0))
+    rising = F.coalesce(F.col("c.forecast_trend") == "increasing", F.lit(False))
+    none = (F.coalesce("c.risk_level", F.lit("none")) == "none") & (F.coalesce("t.risk_level", F.lit("none")) == "none")
+    faster = (ours > 0) & (theirs > ours * 1.2)
+    slightly = ~faster & (theirs > 0) & (theirs > ours)
+    safer = rank("c") < rank("t")
+    better = (rating > 0) & (own_rating > 0) & (rating > own_rating + 0.2)
+    stocked = F.coalesce(F.col("c.stock_status") == "normal", F.lit(False))
+    skins = (F.length(f"t.{skin}") > 0) & (F.length(f"c.{skin}") > 0) & F.exists(
+        F.split(F.col(f"t.{skin}"), ","), lambda s: F.contains(F.col(f"c.{skin}"), F.trim(s)))
+    skins = F.coalesce(skins, F.lit(False))
+    confident = (theirs > ours * 1.1) & rising & (rating >= own_rating)
+    alike = F.coalesce((F.col(f"c.{category}") == F.col(f"t.{category}")) & (F.length(f"c.{category}") > 0), F.lit(False))
+    points = lambda cond, n: F.when(cond, n).otherwise(0)
+    score = (F.lit(5) + F.when(faster, 40).when(slightly, 20).otherwise(0) + points(rising, 25)
+             + F.when(safer, 45).when(none, 5).otherwise(0) + F.when(better, 25).when(rating >= 4.0, 10).otherwise(0)
+             + points(stocked, 10) + points(skins, 10) + points(confident, 50) + points(alike, 5))
+    j = j.withColumn("rec_score", score)
+    w = Window.partitionBy(*k, "query_id").orderBy(F.desc("rec_score"), "cand_id")
+    j = j.withColumn("rec_rank", F.dense_rank().over(w)).where(F.col("rec_rank") <= top_n).dropDuplicates([*k, "query_id", "cand_id"])
+    whole = lambda x: F.bround(x).cast("long").cast("string")
+    tenths = lambda x: F.concat((F.floor(x * 10 + 0.5) / 10).cast("long").cast("string"), F.lit("."),
+                                F.pmod(F.floor(x * 10 + 0.5), F.lit(10)).cast("string"))
+    percent = whole((theirs - ours) / ours * 100)
     reasons = F.array_compact(F.array(
-        F.when(F.col("demand_change_pct") > 10, F.lit("fast mover")),
-        F.when(F.col("forecast_trend") == "increasing", F.lit("rising demand")),
-        F.when(F.col("safety_score") >= 85, F.lit("safe formula")),
-        F.when(F.col("avg_rating") >= 4, F.lit("highly rated")),
-        F.when(F.col("stock_status") == "normal", F.lit("in stock")),
-        F.when(F.col("_ccat") == F.col("_qcat"), F.lit("same category"))))
-    score = (5.0
-             + F.when(F.col("demand_change_pct") > 10, 40.0).when(F.col("demand_change_pct") > 2, 20.0).otherwise(0.0)
-             + F.when(F.col("forecast_trend") == "increasing", 25.0).otherwise(0.0)
-             + F.when(F.col("safety_score") >= 85, 45.0).when(F.col("safety_score") >= 60, 5.0).otherwise(0.0)
-             + F.when(F.col("avg_rating") >= 4, 25.0).when(F.col("avg_rating") >= 3, 10.0).otherwise(0.0)
-             + F.when(F.col("stock_status") == "normal", 10.0).otherwise(0.0)
-             + F.when(F.col("sim").isNotNull(), 50.0 * F.col("sim")).otherwise(0.0)
-             + F.when(F.col("_ccat") == F.col("_qcat"), 5.0).otherwise(0.0))
-    j = j.withColumn("rec_score", score).withColumn("reasons", reasons)
-    w = Window.partitionBy(*k, "query_id").orderBy(F.desc(F.round("rec_score", 9)), F.col("cand_id"))
-    return j.withColumn("rec_rank", F.row_number().over(w)).where(F.col("rec_rank") <= top_n)
+        F.when(confident, F.lit("✨ Confident Replacement: High demand + Rising trend")),
+        F.when(faster, F.concat(F.lit("Selling "), percent, F.lit("% more units/month than current product")))
+         .when(slightly, F.lit("Slightly higher sales velocity")),
+        F.when(rising, F.lit("Demand is trending upward this season")),
+        F.when(safer, F.lit("🛡️ Safer alternative (No harmful ingredients)")),
+        F.when(better, F.concat(F.lit("Superior satisfaction (⭐"), tenths(rating), F.lit(")")))
+         .when(rating >= 4.0, F.lit("Highly rated by customers")),
+        F.when(stocked, F.lit("Well stocked and available")),
+        F.when(skins, F.lit("Suitable for same skin types"))))
+    why = F.array_compact(F.array(
+        F.when(faster, F.concat(F.lit("Higher demand ("), whole(theirs), F.lit("/mo vs "), whole(ours), F.lit("/mo)"))),
+        F.when(rising, F.lit("Rising trend — good time to stock more")),
+        F.when(safer, F.lit("Avoids harmful ingredients found in current product")),
+        F.when(better, F.concat(F.lit("Better customer feedback than current (⭐"), tenths(own_rating), F.lit(")"))),
+        F.when(confident, F.lit("Top-performing alternative with better growth potential"))))
+    reasons = F.when(F.size(reasons) == 0, F.array(F.lit("Alternative product in your inventory"))).otherwise(F.slice(reasons, 1, 3))
+    return j.select(*k, "query_id", "cand_id", "rec_rank", "rec_score", reasons.alias("reasons"), F.slice(why, 1, 2).alias("why_better"),
+                    rising.alias("is_trending"), confident.alias("is_confident"), F.bround(theirs).cast("long").alias("avg_monthly_sales"))
 
 
 # ------------------------------------------------------------------ J09

@@ -227,14 +227,72 @@ def q_embedding_topk(spark, sf_dir):
     return t.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
-@register("recommendations", sql=None)
+_RISK = "CASE {x}.risk_level " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in sim.RISK_RANK) + " ELSE 0 END"
+_TENTHS = "CAST(CAST(floor({x} * 10 + 0.5) AS BIGINT) // 10 AS VARCHAR) || '.' || CAST(CAST(floor({x} * 10 + 0.5) AS BIGINT) % 10 AS VARCHAR)"
+_WHOLE = "CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
+
+REC_SQL = (ANALYSIS_SQL.rstrip() + ",\n" + CORPUS_SQL[CORPUS_SQL.index("corpus AS"):] + ",\n" + PAIRS_SQL[len(CORPUS_SQL) + 2:] + _ranked_sql(20) + f""",
+sal AS (SELECT l_suppkey AS dealer_id, l_partkey AS product_id, avg(l_quantity) AS avg_m FROM lineitem GROUP BY ALL),
+att AS (SELECT f.dealer_id, f.product_id, f.category, f.priority_score, f.risk_level, f.forecast_trend, f.avg_rating, f.stock_status, f.skin_type,
+               coalesce(s.avg_m, 0.0) AS avg_m FROM final f LEFT JOIN sal s USING (dealer_id, product_id)),
+ok AS (SELECT * FROM att WHERE risk_level <> 'high'),
+c1 AS (SELECT t.dealer_id, t.product_id AS q, c.product_id AS c FROM ranked r JOIN att t ON t.product_id = r.product_id
+       JOIN ok c ON c.dealer_id = t.dealer_id AND c.product_id = r.similar_id),
+c2 AS (SELECT t.dealer_id, t.product_id AS q, c.product_id AS c FROM att t JOIN ok c ON c.dealer_id = t.dealer_id AND c.category = t.category AND c.product_id <> t.product_id
+       QUALIFY row_number() OVER (PARTITION BY t.dealer_id, t.product_id ORDER BY c.priority_score DESC NULLS LAST, c.product_id) <= 30),
+n2 AS (SELECT dealer_id, q, count(*) AS n FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2) GROUP BY ALL),
+few AS (SELECT t.dealer_id, t.product_id FROM att t LEFT JOIN n2 ON n2.dealer_id = t.dealer_id AND n2.q = t.product_id WHERE coalesce(n2.n, 0) < 5),
+c3 AS (SELECT t.dealer_id, t.product_id AS q, c.product_id AS c FROM few t JOIN ok c ON c.dealer_id = t.dealer_id AND c.product_id <> t.product_id
+       QUALIFY row_number() OVER (PARTITION BY t.dealer_id, t.product_id ORDER BY c.priority_score DESC NULLS LAST, c.product_id) <= 30),
+n3 AS (SELECT dealer_id, q, count(*) AS n FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3) GROUP BY ALL),
+rec_last AS (SELECT t.dealer_id, t.product_id FROM few t LEFT JOIN n3 ON n3.dealer_id = t.dealer_id AND n3.q = t.product_id WHERE coalesce(n3.n, 0) < 3),
+c4 AS (SELECT t.dealer_id, t.product_id AS q, c.product_id AS c FROM rec_last t JOIN att c ON c.dealer_id = t.dealer_id AND c.product_id <> t.product_id
+       QUALIFY row_number() OVER (PARTITION BY t.dealer_id, t.product_id ORDER BY c.priority_score DESC NULLS LAST, c.product_id) <= 30),
+rec_cand AS (SELECT * FROM c1 UNION SELECT * FROM c2 UNION SELECT * FROM c3 UNION SELECT * FROM c4),
+cmp AS (SELECT d.dealer_id, d.q, d.c, t.avg_m AS ours, c.avg_m AS theirs, c.avg_rating AS rating, t.avg_rating AS own,
+               c.forecast_trend = 'increasing' AS rising, {_RISK.format(x='c')} < {_RISK.format(x='t')} AS safer,
+               c.risk_level = 'none' AND t.risk_level = 'none' AS clean, c.stock_status = 'normal' AS stocked,
+               length(t.skin_type) > 0 AND length(c.skin_type) > 0 AND list_bool_or([contains(c.skin_type, trim(s)) for s in string_split(t.skin_type, ',')]) AS skins,
+               c.category = t.category AS alike
+        FROM rec_cand d JOIN att t ON t.dealer_id = d.dealer_id AND t.product_id = d.q JOIN ok c ON c.dealer_id = d.dealer_id AND c.product_id = d.c),
+flags AS (SELECT *, ours > 0 AND theirs > ours * 1.2 AS faster, rating > 0 AND own > 0 AND rating > own + CAST(0.2 AS DOUBLE) AS better,
+                 theirs > ours * 1.1 AND rising AND rating >= own AS confident FROM cmp),
+flags2 AS (SELECT *, NOT faster AND theirs > 0 AND theirs > ours AS slightly FROM flags),
+points AS (SELECT *, 5 + CASE WHEN faster THEN 40 WHEN slightly THEN 20 ELSE 0 END + CASE WHEN rising THEN 25 ELSE 0 END
+                  + CASE WHEN safer THEN 45 WHEN clean THEN 5 ELSE 0 END + CASE WHEN better THEN 25 WHEN rating >= 4.0 THEN 10 ELSE 0 END
+                  + CASE WHEN stocked THEN 10 ELSE 0 END + CASE WHEN skins THEN 10 ELSE 0 END + CASE WHEN confident THEN 50 ELSE 0 END
+                  + CASE WHEN alike THEN 5 ELSE 0 END AS rec_score FROM flags2),
+rec_best AS (SELECT *, row_number() OVER (PARTITION BY dealer_id, q ORDER BY rec_score DESC, c) AS rec_rank FROM points),
+said AS (SELECT *, list_filter([
+    CASE WHEN confident THEN '✨ Confident Replacement: High demand + Rising trend' END,
+    CASE WHEN faster THEN 'Selling ' || {_WHOLE.format(x='((theirs - ours) / ours * 100)')} || '% more units/month than current product'
+         WHEN slightly THEN 'Slightly higher sales velocity' END,
+    CASE WHEN rising THEN 'Demand is trending upward this season' END,
+    CASE WHEN safer THEN '🛡️ Safer alternative (No harmful ingredients)' END,
+    CASE WHEN better THEN 'Superior satisfaction (⭐' || {_TENTHS.format(x='rating')} || ')' WHEN rating >= 4.0 THEN 'Highly rated by customers' END,
+    CASE WHEN stocked THEN 'Well stocked and available' END,
+    CASE WHEN skins THEN 'Suitable for same skin types' END], lambda x: x IS NOT NULL) AS r,
+  list_filter([
+    CASE WHEN faster THEN 'Higher demand (' || {_WHOLE.format(x='theirs')} || '/mo vs ' || {_WHOLE.format(x='ours')} || '/mo)' END,
+    CASE WHEN rising THEN 'Rising trend — good time to stock more' END,
+    CASE WHEN safer THEN 'Avoids harmful ingredients found in current product' END,
+    CASE WHEN better THEN 'Better customer feedback than current (⭐' || {_TENTHS.format(x='own')} || ')' END,
+    CASE WHEN confident THEN 'Top-performing alternative with better growth potential' END], lambda x: x IS NOT NULL) AS y
+  FROM rec_best WHERE rec_rank <= 5)
+""")
+
+
+@register("recommendations", sql=REC_SQL + """
+SELECT dealer_id, q AS query_id, c AS cand_id, CAST(rec_rank AS INTEGER) AS rec_rank, CAST(rec_score AS INTEGER) AS rec_score,
+       CASE WHEN len(r) = 0 THEN 'Alternative product in your inventory' ELSE array_to_string(r[1:3], ' | ') END AS reasons,
+       array_to_string(y[1:2], ' | ') AS why_better, rising AS is_trending, confident AS is_confident,
+       CAST(round_even(theirs, 0) AS BIGINT) AS avg_monthly_sales FROM said""")
 def q_recommendations(spark, sf_dir):
     w, _ = weights_frame(spark, sf_dir)
-    similar = sim.similar_products(w, top_n=20)
-    a = analysis_frame(spark, sf_dir)
-    r = sim.recommendations(similar, a)
-    return r.select("dealer_id", "query_id", "cand_id", "source", "rec_rank", F.round("rec_score", 6).alias("rec_score"),
-                    F.array_join("reasons", ",").alias("reasons"))
-
-
-_ = ANALYSIS_SQL  # the recommendation oracle would need the flagship + TF-IDF SQL; rows-only check
+    similar = cut_lineage(sim.similar_products(w, top_n=20))
+    sold = b.sales(spark, sf_dir).groupBy("dealer_id", "product_id").agg(F.avg("units_sold").alias("avg_monthly"))
+    a = analysis_frame(spark, sf_dir).select("dealer_id", "product_id", "category", "priority_score", "risk_level", "forecast_trend",
+                                             "avg_rating", "stock_status", "skin_type")
+    items = cut_lineage(a.join(sold, ["dealer_id", "product_id"], "left"))
+    r = sim.recommendations(similar, items)
+    return r.withColumn("reasons", F.array_join("reasons", " | ")).withColumn("why_better", F.array_join("why_better", " | "))
