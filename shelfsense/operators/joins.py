@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..session import cut_lineage
 from .ordering import global_index
 
 
@@ -82,19 +83,77 @@ def orphan_relink(orphans: DataFrame, valid: DataFrame, orphan_order: str, valid
 
 
 # D09
+def piece(text: Column, length: Column, i: Column, parts: int) -> tuple[Column, Column]:
+    """Begin and length of the i-th of ``parts`` pieces of a string of ``length`` characters."""
+    at = F.floor(i * length / parts)
+    return at.cast("int"), (F.floor((i + 1) * length / parts) - at).cast("int")
+
+
+def within_distance(queries: DataFrame, names: DataFrame, d: int) -> DataFrame:
+    """(_q, _n, dist) of all pairs of distinct strings of ``queries`` (_q) and ``names`` (_n) at most ``d`` edits apart.
+
+    A name is cut into d + 1 pieces.  d edits leave one of them intact, and it lies in the query no further
+    from its place than the edits before and after it allow (Li, Deng, Wang & Feng, "Pass-Join", VLDB 2011).  So pairs meet by an equi-join on
+    the name's length, the piece's number and its text.  Names of at most d characters have empty pieces; they
+    meet the queries whose length is within d of theirs."""
+    q = queries.select("_q", F.length("_q").alias("_len"))
+    n = names.select("_n", F.length("_n").alias("_l"))
+    near = q.withColumn("_l", F.explode(F.sequence(F.greatest(F.col("_len") - d, F.lit(0)), F.col("_len") + d)))
+    short = near.where(F.col("_l") <= d).join(n.where(F.col("_l") <= d), "_l").select("_q", "_n")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(d)))
+    at, size = piece(F.col("_n"), F.col("_l"), F.col("_i"), d + 1)
+    of_names = n.where(F.col("_l") > d).withColumn("_i", parts).select("_n", "_l", "_i", F.substring("_n", at + 1, size).alias("_piece"))
+    at, size = piece(F.col("_q"), F.col("_l"), F.col("_i"), d + 1)
+    before, after = F.col("_i"), d - F.col("_i")
+    shift = F.col("_len") - F.col("_l")
+    low = F.greatest(at - before, at + shift - after, F.lit(0))
+    high = F.least(at + before, at + shift + after, F.col("_len") - size)
+    of_queries = (near.where(F.col("_l") > d).withColumn("_i", parts).where(low <= high)
+                  .withColumn("_at", F.explode(F.sequence(low, high)))
+                  .select("_q", "_l", "_i", F.substring("_q", F.col("_at") + 1, size).alias("_piece")).distinct())
+    met = of_queries.join(of_names, ["_l", "_i", "_piece"]).select("_q", "_n")
+    return (met.withColumn("dist", F.levenshtein("_q", "_n", d)).where(F.col("dist") >= 0)
+               .unionByName(short.withColumn("dist", F.levenshtein("_q", "_n", d)).where(F.col("dist") >= 0)).distinct())
+
+
 def fuzzy_match(queries: DataFrame, names: DataFrame, q_id: str, q_name: str, n_id: str, n_name: str,
                 min_score: float = 0.0) -> DataFrame:
-    """Best name match per query: blocking equi-join on the first token, then
-    Levenshtein ratio 1 - d / max(len); ties -> smallest id."""
-    first = lambda c: F.split(F.lower(F.trim(c)), r"\s+").getItem(0)
-    qq = queries.select(q_id, F.lower(F.trim(F.col(q_name))).alias("_q"), first(F.col(q_name)).alias("_b"))
-    nn = names.select(n_id, F.col(n_name).alias("match_name"), F.lower(F.trim(F.col(n_name))).alias("_n"),
-                      first(F.col(n_name)).alias("_b"))
-    j = qq.join(nn, "_b")
-    score = 1 - F.levenshtein("_q", "_n") / F.greatest(F.length("_q"), F.length("_n"), F.lit(1))
-    j = j.withColumn("match_score", score).where(F.col("match_score") >= min_score)
-    w = Window.partitionBy(q_id).orderBy(F.desc("match_score"), F.col(n_id))
-    return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_q", "_n", "_b")
+    """Best name of each query by Levenshtein ratio 1 - distance / max(length), of at least ``min_score``; ties -> smallest id.
+
+    Exact: distances 0, 1, 2, 4, ... are searched until no name further away can be as good as the best found.
+    A name more than d edits away has a ratio of at most 1 - (d + 1) / (length + d + 1).  Most queries end after
+    a round or two; those unlike any name go on until ``min_score`` ends the search, at worst (0.0) to all pairs of
+    them and the names.  Strings are compared in lower case without white space at their ends, each distinct one once.
+    A row for each query; no match (null) for a null name, and where nothing is good enough."""
+    q = queries.select(q_id, F.lower(F.trim(F.col(q_name))).alias("_q"))
+    names = names.where(F.col(n_name).isNotNull()).groupBy(F.lower(F.trim(F.col(n_name))).alias("_n")).agg(
+        F.min(F.struct(F.col(n_id).alias("id"), F.col(n_name).alias("name"))).alias("_best"))
+    names = cut_lineage(names)
+    left = cut_lineage(q.where("_q is not null").select("_q").distinct())
+    longest = names.agg(F.max(F.length("_n"))).first()[0]
+    found, d = None, 0
+    while longest is not None and (most := left.agg(F.max(F.length("_q"))).first()[0]) is not None:
+        reach = max(longest, most)
+        size = F.greatest(F.length("_q"), F.length("_n"), F.lit(1))
+        pairs = within_distance(left, names, d).withColumn("_size", size).join(names, "_n")
+        better = F.struct((F.col("dist") / F.col("_size")).alias("r"), F.col("_best.id").alias("id"), F.col("_best.name").alias("name"),
+                          F.col("dist"), F.col("_size").alias("size"))
+        best = pairs.groupBy("_q").agg(F.min(better).alias("b"))
+        state = cut_lineage(left.join(best, "_q", "left"))
+        # no name more than d edits away is as good, or good enough
+        beyond, over = F.lit(d + 1), F.length("_q") + d + 1
+        done = F.col("b.dist") * over < beyond * F.col("b.size")
+        over_limit = F.lit(1.0) - beyond / over < min_score - 1e-12
+        ends = F.coalesce(done, F.lit(False)) | over_limit | F.lit(d >= reach)
+        part = state.where(ends & F.col("b").isNotNull())
+        found = part if found is None else found.unionByName(part)
+        left = cut_lineage(state.where(~ends).select("_q"))
+        d = min(max(1, 2 * d), max(reach, 1))
+    if found is None:
+        none = names.limit(0).select(F.col("_n").alias("_q"), F.struct(F.lit(0.0).alias("r"), F.col("_best.id").alias("id"), F.col("_best.name").alias("name")).alias("b"))
+        found = none
+    good = found.select("_q", F.col("b.id").alias(n_id), F.col("b.name").alias("match_name"), (1 - F.col("b.r")).alias("match_score"))
+    return q.join(good.where(F.col("match_score") >= min_score - 1e-12), "_q", "left").drop("_q")
 
 
 # D10
@@ -128,7 +187,3 @@ def name_lookup(queries: DataFrame, catalogue: DataFrame, q_key: str, q_name: st
     j = (queries.join(by_id, queries[q_key] == by_id["_id_hit"], "left")
                 .join(by_name, F.lower(F.trim(F.col(q_name))) == by_name["_nm"], "left"))
     return j.withColumn(out, F.coalesce("_id_hit", "_name_hit")).drop("_id_hit", "_name_hit", "_nm")
-
-
-def keyed(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    return [c for c in keys if c in df.columns]

@@ -200,14 +200,12 @@ def q_orphan_relink(spark, sf_dir):
 
 
 @register("fuzzy_match", sql=f"""
-WITH qq AS (SELECT p_partkey, lower(trim(replace(p_name, 'e', 'a'))) AS q,
-                   string_split_regex(lower(trim(replace(p_name, 'e', 'a'))), '\\s+')[1] AS b FROM part),
-nn AS (SELECT DISTINCT p_name AS match_name, lower(trim(p_name)) AS n,
-              string_split_regex(lower(trim(p_name)), '\\s+')[1] AS b FROM part),
-j AS (SELECT p_partkey, match_name, 1 - levenshtein(q, n) / greatest(length(q), length(n), 1) AS match_score
-      FROM qq JOIN nn USING (b))
-SELECT p_partkey, match_name, {b.rnd('match_score', 6)} AS match_score FROM (
-  SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY match_score DESC, match_name) AS r FROM j) WHERE r = 1""")
+WITH qq AS (SELECT p_partkey, lower(trim(replace(p_name, 'e', 'a'))) AS q FROM part),
+nn AS (SELECT DISTINCT p_name AS match_name, lower(trim(p_name)) AS n FROM part),
+dq AS (SELECT DISTINCT q FROM qq),
+j AS (SELECT q, match_name, 1 - levenshtein(q, n) / greatest(length(q), length(n), 1) AS match_score FROM dq CROSS JOIN nn),
+top AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY q ORDER BY match_score DESC, match_name) = 1)
+SELECT p_partkey, match_name, {b.rnd('match_score', 6)} AS match_score FROM qq JOIN top USING (q)""")
 def q_fuzzy_match(spark, sf_dir):
     p = b.table(spark, sf_dir, "part")
     queries = p.select("p_partkey", F.regexp_replace("p_name", "e", "a").alias("q_name"))
