@@ -12,11 +12,10 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from .. import binding as b
-from ..operators import text_analytics as ta
 from ..sources import io
 from ..streaming import jobs
 from .q_aggs import SCORED_SQL
-from .q_sources import q_upsert_products
+from . import q_sources  # noqa: F401  registers the oracle of upsert_products
 from .q_stock import SERIES_SQL, series_frame
 from .registry import ORACLES, register
 
@@ -57,6 +56,10 @@ def q_stream_weekly_demand(spark, sf_dir):
     _land(p, f"{base}/landing")
     src = jobs.file_stream(spark, f"{base}/landing", p.schema)
     jobs.stream_weekly_demand(src, f"{base}/sink", f"{base}/ckpt")
+    # the source ends: a row without a product closes the last weeks
+    _land(p.agg(F.max("sale_ts").alias("t")).select(F.lit(None).cast("long").alias("sale_id"), F.lit(None).cast("long").alias("product_id"),
+                                                   F.lit(0.0).alias("units"), F.expr("t + INTERVAL 30 DAYS").alias("sale_ts")), f"{base}/landing", files=1)
+    jobs.stream_weekly_demand(src, f"{base}/sink", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/sink").select("product_id", "week_end", "units")
 
 
@@ -105,11 +108,17 @@ def q_stream_stock_refresh(spark, sf_dir):
     base = io.scratch_path(spark, "k05")
     tp = b.tenant_products(spark, sf_dir).where(F.col("category") == "PROMO").select("dealer_id", "product_id")
     inv = b.inventory(spark, sf_dir).join(tp, ["dealer_id", "product_id"])
-    changes = inv.select("dealer_id", "product_id", (F.col("current_stock") + 100).alias("current_stock"))
-    _land(changes, f"{base}/landing")
-    src = jobs.file_stream(spark, f"{base}/landing", changes.schema)
-    jobs.stream_stock_refresh(src, series_frame(spark, sf_dir), f"{base}/sink", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/sink")
+    at = lambda day: F.lit(_dt.datetime(2001, 11, day)).cast("timestamp").alias("changed_at")
+    change = lambda more, day: inv.select("dealer_id", "product_id", (F.col("current_stock") + more).alias("current_stock"), at(day))
+    series = series_frame(spark, sf_dir)
+    schema = change(100, 3).schema
+    # the latest change first, then an older one and the latest once more
+    _land(change(100, 3), f"{base}/landing")
+    src = jobs.file_stream(spark, f"{base}/landing", schema)
+    jobs.stream_stock_refresh(src, series, f"{base}/table", f"{base}/ckpt")
+    _land(change(40, 2).unionByName(change(100, 3)), f"{base}/landing")
+    jobs.stream_stock_refresh(src, series, f"{base}/table", f"{base}/ckpt")
+    return spark.read.parquet(jobs.current_version(spark, f"{base}/table")).drop("changed_at")
 
 
 @register("stream_sentiment", sql=b.with_ctes(SCORED_SQL) + """
@@ -135,11 +144,12 @@ def q_stream_upsert_products(spark, sf_dir):
             .select("product_id", F.lit(None).cast("string").alias("product_name"), (F.col("price") * 1.1).alias("price"))
             .unionByName(p.where(F.col("category") == "SMALL")
                           .select((F.col("product_id") + 100000).alias("product_id"), "product_name", "price")))
-    _land(upd, f"{base}/landing")
+    # every update is preceded by one of another price that it overrides
+    early = upd.select("product_id", "product_name", (F.col("price") + 5).alias("price"), F.lit(1).alias("updated_at"))
+    upd = upd.withColumn("updated_at", F.lit(2))
+    _land(upd.unionByName(early), f"{base}/landing")
     src = jobs.file_stream(spark, f"{base}/landing", upd.schema)
     jobs.stream_upsert_products(src, f"{base}/table", ["product_id"], f"{base}/ckpt")
     cur = jobs.current_version(spark, f"{base}/table")
     return spark.read.parquet(cur).select("product_id", "product_name", F.round("price", 6).alias("price"))
 
-
-_ = (ta, q_upsert_products)
