@@ -10,7 +10,7 @@ A text is read in units: stretches that begin with white space before which ther
 none.  A splits there by its pattern, and B has no piece with a space after
 another character (both checked; if not, a text is one unit).  So the tokens of a
 text are those of its units, and so are groups and links; units are aligned in
-batches, and short ones remembered.
+batches and remembered for a while.
 
 :func:`score` finds in how many documents each id pair is linked, and returns that
 to the documents:
@@ -61,22 +61,22 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from ..session import cut_lineage, ensure_checkpoint_dir
 
 CONTAINER = 1 << 16
-#: links that a task holds before it inverts them
+#: links that a task holds before it inverts them, and links of remembered units
 HELD = 1 << 21
 #: texts that are cut into tokens at a time, in bytes
 BLOCK_BYTES = 1 << 20
-#: units that are remembered, and their characters at most
-KNOWN, SHORT = 1 << 17, 64
+#: units that are remembered, about
+KNOWN = 1 << 18
+#: characters of units that are aligned at a time
+CHUNK = 1 << 16
+#: how a unit begins that may follow another one; the other one ends in something else than white space
+JOINS = re.compile(r" +\S")
 #: bytes of a bitmap of plain bits
 BITS = CONTAINER // 8
 #: pairs (about 40 bytes each) that every executor may hold
 BROADCAST_PAIRS = 1 << 20
 
 
-#: n_a, n_b, n_groups, groups (each followed by ``;``), links
-Unit = tuple[int, int, int, bytes, np.ndarray]
-
-
 @dataclass(frozen=True)
 class Tokenizers:
     """Files of the tokenizers, readable on every machine."""
@@ -154,57 +154,84 @@ class Side:
 
 
 class Aligner:
-    """Both tokenizers, and the alignments of units seen before."""
+    """Both tokenizers, and the alignments of units seen before: unit k has ``counts[k]`` (n_a, n_b, n_groups), ``groups[k]``
+    and the links ``links[at[k]:at[k + 1]]``; a unit whose bytes aren't given back has the number -1."""
 
     def __init__(self, files: Tokenizers):
         self.a, self.b = ByteLevel(files.a), Pieces(files.b)
         self.side_a, self.side_b = Side.of(self.a.token, b",", b"|"), Side.of(self.b.token, b",", b";")
-        split = self.a.fast is not None and not any(re.search("[^▁]▁", self.b.model.id_to_piece(i)) for i in range(len(self.b.token)))
-        self.cut = re.compile(r"(?<=\S)(?= +\S)" if split else r"(?!)")
-        self.known: dict[str, Unit | None] = {}
-
-    def of(self, texts: list[str]) -> list[list[Unit]]:
-        """The aligned units of each text; none where a text is empty or some unit's bytes aren't given back."""
-        if len(self.known) > KNOWN:
-            self.known = {}
+        self.split = self.a.fast is not None and not any(re.search("[^▁]▁", self.b.model.id_to_piece(i)) for i in range(len(self.b.token)))
+        self.cut = re.compile(r"(?<=\S)(?= +\S)" if self.split else r"(?!)")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.groups: list[bytes] = []
+        self.counts, self.at, self.links = np.zeros((0, 3), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the units of all texts, and where each text's begin; none where a text is empty or a unit of it is -1."""
+        if len(self.known) > KNOWN or len(self.links) > HELD:
+            self.forget()
         units = [self.cut.split(" " + t) if t else [] for t in texts]
-        missing = list({u for t in units for u in t if u not in self.known})
-        fresh = dict(zip(missing, self.learn(missing)))
-        self.known.update((u, x) for u, x in fresh.items() if len(u) <= SHORT)
-        known = self.known if all(len(u) <= SHORT for u in missing) else self.known | fresh
+        missing = list({u for t in units for u in t}.difference(self.known))
+        joins = [bool(JOINS.match(u)) and not u[-1].isspace() for u in missing]
+        for u, ok in zip(missing, joins):
+            if not ok:
+                self.learn([u])
+        missing = [u for u, ok in zip(missing, joins) if ok]
+        first = 0
+        while first < len(missing):
+            end, size = first, 0
+            while end < len(missing) and size < CHUNK:
+                size += len(missing[end])
+                end += 1
+            self.learn(missing[first:end])
+            first = end
+        known = self.known
         found = [[known[u] for u in t] for t in units]
-        return [[] if None in t else t for t in found]
+        found = [[] if -1 in t else t for t in found]
+        return np.array([k for t in found for k in t], np.int64), np.cumsum([0, *map(len, found)])
 
-    def learn(self, units: list[str]) -> list[Unit | None]:
-        """Alignments of units, each of which begins with a space; all at once, as their ends are ends of tokens of both."""
-        ids_a, ids_b = [self.a.encode(u) for u in units], self.b.encode([u[1:] for u in units])
+    def tokens(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """A's and B's ids of those units, one after the other, whose bytes both give back, and which these are."""
         token_a, token_b = self.side_a.token, self.side_b.token
-        right = []
-        for u, x, y in zip(units, ids_a, ids_b):
-            data = u.encode()
-            right.append(b"".join([token_a[i] for i in x.tolist()]) == data and b"".join([token_b[i] for i in y]) == data)
-        if not any(right):
-            return [None] * len(units)
-        a = np.concatenate([x for x, ok in zip(ids_a, right) if ok])
-        b = np.concatenate([np.array(y, np.int64) for y, ok in zip(ids_b, right) if ok])
+        back = lambda a, b, data: b"".join([token_a[i] for i in a.tolist()]) == data and b"".join([token_b[i] for i in b]) == data
+        if self.split:
+            whole = "".join(units)      # put together, they are units of one text
+            a, b = self.a.encode(whole), self.b.encode([whole[1:]])[0]
+            if back(a, b, whole.encode()):
+                return a, np.array(b, np.int64), [True] * len(units)
+        each = list(zip([self.a.encode(u) for u in units], self.b.encode([u[1:] for u in units])))
+        right = [back(x, y, u.encode()) for u, (x, y) in zip(units, each)]
+        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in parts)])
+        return join(x for (x, _), ok in zip(each, right) if ok), join(y for (_, y), ok in zip(each, right) if ok), right
+
+    def learn(self, units: list[str]) -> None:
+        """Align one unit, or units that may follow each other: all at once, as their ends are ends of tokens of both."""
+        a, b, right = self.tokens(units)
+        good = [u for u, ok in zip(units, right) if ok]
+        self.known.update((u, -1) for u, ok in zip(units, right) if not ok)
+        if not good:
+            return
         at_a, at_b, closes_a, closes_b = aligned(a, b, self.side_a.size, self.side_b.size)
         words = written(a, b, closes_a, closes_b, self.side_a.words, self.side_b.words)
-        links = (a[at_a] << 32) + b[at_b]
-        end_a = np.cumsum([len(x) for x, ok in zip(ids_a, right) if ok])
-        end_b = np.cumsum([len(y) for y, ok in zip(ids_b, right) if ok])
-        end_link = np.searchsorted(at_a, end_a)     # links of a unit: those of its A tokens
-        n_groups = np.cumsum(closes_a)[end_a - 1]
-        out, was = [], (0, 0, 0, 0)
-        ends = zip(end_a.tolist(), end_b.tolist(), n_groups.tolist(), end_link.tolist())
-        for ok in right:
-            if not ok:
-                out.append(None)
-                continue
-            now = next(ends)
-            n = [y - x for x, y in zip(was, now)]
-            out.append((n[0], n[1], n[2], b"".join(words[was[0] + was[1]:now[0] + now[1]]), links[was[3]:now[3]].copy()))
-            was = now
-        return out
+        ends = np.cumsum([len(u.encode()) for u in good])
+        end_a = np.searchsorted(np.cumsum(self.side_a.size[a]), ends) + 1
+        end_b = np.searchsorted(np.cumsum(self.side_b.size[b]), ends) + 1
+        totals = np.stack([end_a, end_b, np.cumsum(closes_a)[end_a - 1]], 1)
+        edge = np.r_[0, end_a + end_b].tolist()
+        self.known.update(zip(good, range(len(self.groups), len(self.groups) + len(good))))
+        self.groups += [b"".join(words[x:y]) for x, y in zip(edge, edge[1:])]
+        self.counts = np.concatenate([self.counts, np.diff(totals, axis=0, prepend=0)])
+        self.at = np.concatenate([self.at, len(self.links) + np.searchsorted(at_a, end_a)])     # links of a unit: those of its A tokens
+        self.links = np.concatenate([self.links, (a[at_a] << 32) + b[at_b]])
+
+    def gather(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of these units in their order, and how many each has."""
+        n = self.at[units + 1] - self.at[units]
+        first = np.cumsum(n) - n
+        return self.links[np.repeat(self.at[units] - first, n) + np.arange(n.sum())], n
 
 
 @lru_cache(maxsize=1)
@@ -242,14 +269,15 @@ def aligner(files: Tokenizers, digest: bool):
             first, size = 0, np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in column.cast(pa.binary())])
             while first < len(column):
                 end = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + BLOCK_BYTES, "right")))
-                found = tool.of([x or "" for x in column.slice(first, end - first).to_pylist()])
-                counts = [pa.array([sum([u[k] for u in t]) for t in found], pa.int64()) for k in range(3)]
-                groups = [b"".join([u[3] for u in t])[:-1] for t in found]
+                units, at = tool.of([x or "" for x in column.slice(first, end - first).to_pylist()])
+                per_text = lambda values: np.diff(np.r_[0, np.cumsum(values)][at])
+                links, n = tool.gather(units)
+                parts = [tool.groups[k] for k in units.tolist()]
+                groups = [b"".join(parts[x:y])[:-1] for x, y in zip(at.tolist(), at.tolist()[1:])]
                 if digest:
                     groups = [hashlib.sha256(x).hexdigest().encode() if x else b"" for x in groups]
-                links = [u[4] for t in found for u in t]
-                at = np.cumsum([0, *(sum([len(u[4]) for u in t]) for t in found)])
-                added = [*counts, pa.array(groups, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(np.concatenate(links) if links else np.zeros(0, np.int64)))]
+                added = [*(pa.array(per_text(tool.counts[units, k])) for k in range(3)), pa.array(groups, pa.binary()).cast(pa.string()),
+                         pa.ListArray.from_arrays(np.r_[0, np.cumsum(per_text(n))].astype(np.int32), pa.array(links))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns[:-1]), *added], [*batch.schema.names[:-1], *ALIGNED.names])
                 first = end
     return run
