@@ -7,7 +7,7 @@ construction or checked here.  AQE's skew-join splitting handles a hot key.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -6,16 +6,15 @@ whole scorer runs map-side in whole-stage codegen, and a hot product or a
 huge text only makes its own row slower.
 
 A lexicon that is itself a table (the chemicals dimension, arbitrary size)
-goes through :func:`lexicon_match`, a substring theta join: broadcast when
-the lexicon's row count is under a checked bound, otherwise a 3-gram blocked
-equi-join so that no side is ever replicated unboundedly.
+goes through :func:`lexicon_match`: an equi-join of texts' 3-grams with an index of
+each term's rarest one, and a test of the terms that this names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -131,42 +130,45 @@ def safe_flags(df: DataFrame, text: str = "ingredients", terms: Sequence[str] =
 
 
 # ------------------------------------------------------------------ D06
-def lexicon_match(texts: DataFrame, lexicon: DataFrame, id_col: str, text: str, term: str,
-                  max_broadcast_terms: int = 100_000, gram: int = 3) -> DataFrame:
-    """(id, term) pairs where the lower-cased text contains the term.
-
-    The lexicon row count is checked first (one small aggregate).  Under the
-    bound the lexicon is broadcast and matched by a nested-loop filter, which
-    costs texts x terms.  Over it, terms are blocked by their first ``gram``
-    characters and texts by every ``gram``-gram they contain; the equi-join on
-    the gram is verified with ``instr``.  Terms shorter than ``gram`` are few
-    by construction and always broadcast.
-    """
-    lex = lexicon.select(F.lower(F.col(term)).alias("_term"), *[c for c in lexicon.columns if c != term])
+def grams(text: Column, sizes: Sequence[int]) -> Column:
+    """The distinct runs of ``sizes`` (0 to 3) characters of a text, by shifted copies of its characters: linear in its length."""
+    chars = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+    n = F.size(chars)
+    cut = lambda k, m: F.slice(chars, k, F.greatest(n - (m - 1), F.lit(0)))
+    one = {0: F.array(F.lit("")), 1: chars, 2: F.zip_with(cut(1, 2), cut(2, 2), lambda x, y: F.concat(x, y))}
+    one[3] = F.zip_with(F.zip_with(cut(1, 3), cut(2, 3), lambda x, y: F.concat(x, y)), cut(3, 3), lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.concat(*[one[m] for m in sizes]))
+
+
+def lexicon_match(texts: DataFrame, lexicon: DataFrame, id_col: str, text: str, term: str) -> DataFrame:
+    """(id, term, other columns of the lexicon) of all pairs where the lower-cased text contains the lower-cased term.
+
+    A term is looked up under one of its 3-grams (a shorter term under itself): the one that the fewest texts hold.  A
+    term with a gram that no text holds is in none.  Texts give their distinct grams, without the text; those
+    that are looked up name the terms that may be in the text, and all of a text's are tested on it at
+    once.  One plan at every size; the planner broadcasts the index if it is small by its own check.
+    A null text is empty, which contains the empty term only; rows that repeat are matched once each."""
+    lex = lexicon.where(F.col(term).isNotNull()).select(F.lower(F.col(term)).alias("_term"), *[c for c in lexicon.columns if c != term])
+    terms = lex.select("_term").distinct()
+    sizes = sorted(r[0] for r in terms.select(F.least(F.length("_term"), F.lit(3)).alias("n")).distinct().collect())     # at most 4 values
+    out = [id_col, F.col("_term").alias(term), *[c for c in lexicon.columns if c != term]]
     t = texts.select(F.col(id_col), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    n_terms = lex.count()
-    if n_terms <= max_broadcast_terms:
-        pairs = t.join(F.broadcast(lex), F.instr(F.col("_text"), F.col("_term")) > 0)
-    else:
-        short = lex.where(F.length("_term") < gram)
-        longl = lex.where(F.length("_term") >= gram).withColumn("_g", F.substring("_term", 1, gram))
-        grams = t.select(id_col, "_text", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("_text") - gram + 1, F.lit(1))),
-            lambda i: F.substring("_text", i, gram)))).alias("_g"))
-        p_long = grams.join(longl, "_g").where(F.instr(F.col("_text"), F.col("_term")) > 0).drop("_g")
-        p_short = t.join(F.broadcast(short), F.instr(F.col("_text"), F.col("_term")) > 0)
-        pairs = p_long.unionByName(p_short)
-    return pairs.drop("_text").withColumnRenamed("_term", term)
+    t = t.withColumn("_hash", F.xxhash64("_text"))
+    if not sizes:
+        return t.crossJoin(lex).where("false").select(out)
+    of_text = t.select("_hash", F.explode(grams(F.col("_text"), sizes)).alias("_gram"))
+    whole = F.when(F.length("_term") < 3, F.array("_term")).otherwise(grams(F.col("_term"), [3]))
+    of_term = terms.select("_term", F.explode(whole).alias("_gram"))
+    held = of_text.join(of_term.select("_gram").distinct(), "_gram").groupBy("_gram").agg(F.count(F.lit(1)).alias("_held"))
+    index = (of_term.join(held, "_gram", "left").groupBy("_term")
+                    .agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("n"), "_gram")).alias("_rarest"))
+                    .where("_rarest.n > 0").select("_term", F.col("_rarest._gram").alias("_gram")))
+    maybe = of_text.join(index, "_gram").groupBy("_hash").agg(F.collect_set("_term").alias("_maybe"))
+    hits = t.join(maybe, "_hash").withColumn("_term", F.explode("_maybe")).where(F.contains(F.col("_text"), F.col("_term")))
+    return hits.select(id_col, "_term").join(lex, "_term").select(out)
 
 
 def lexicon_frame(spark, lexicon: Lexicon = L.HARMFUL_TERMS) -> DataFrame:
     rows = [(i, kw, name, int(sev), reason, family_of(kw)) for i, (kw, name, sev, reason) in enumerate(lexicon)]
     return spark.createDataFrame(rows, "ord int, keyword string, name string, severity int, "
                                        "reason string, family string")
-
-
-def top_terms_found(pairs: DataFrame, term: str = "name", n: int = 10) -> DataFrame:
-    """Most frequent matched names (E18 variant over D06 output)."""
-    w = Window.orderBy(F.desc("n"), term)
-    return (pairs.groupBy(term).agg(F.count(F.lit(1)).alias("n"))
-                 .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.text import md5_mod
 from ..session import cut_lineage
 
 #: share of the threshold down to which terms are met; a lower one meets more and verifies less
@@ -45,6 +46,8 @@ CUT = 0.75
 BLOCK = 2048
 #: blocks of a frequent term hold norms within a factor of this
 STEP = 0.8
+#: steps of the hash that draws sample rows
+DRAWS = 1_000_000
 #: room for rounding in bounds, and between equal scores when they are ranked
 SLACK = 2e-9
 
@@ -204,18 +207,72 @@ def similar_products(weights: DataFrame, attrs: DataFrame | None = None, id_col:
                      boost: float = 1.2) -> DataFrame:
     """Top-n neighbours per product by raw cosine >= threshold (self excluded); the shown
     score is x boost (capped at 1) for the same category, ranking stays on the raw score."""
-    pairs = similar_pairs(weights, threshold, top_n)
-    w = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), F.col("b"))
-    top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    top = top_neighbours(similar_pairs(weights, threshold, top_n), top_n)
     if attrs is not None:
-        ca = attrs.select(F.col(id_col).alias("a"), F.col(category).alias("_ca"))
-        cb = attrs.select(F.col(id_col).alias("b"), F.col(category).alias("_cb"))
-        top = (top.join(ca, "a", "left").join(cb, "b", "left")
+        ca = attrs.select(F.col(id_col).alias("product_id"), F.col(category).alias("_ca"))
+        cb = attrs.select(F.col(id_col).alias("similar_id"), F.col(category).alias("_cb"))
+        top = (top.join(ca, "product_id", "left").join(cb, "similar_id", "left")
                   .withColumn("score", F.when(F.col("_ca") == F.col("_cb"), F.least(F.lit(1.0), F.col("sim") * boost))
                               .otherwise(F.col("sim"))).drop("_ca", "_cb"))
     else:
         top = top.withColumn("score", F.col("sim"))
-    return top.select(F.col("a").alias("product_id"), F.col("b").alias("similar_id"), "rank", "sim", "score")
+    return top.select("product_id", "similar_id", "rank", "sim", "score")
+
+
+def top_neighbours(pairs: DataFrame, top_n: int) -> DataFrame:
+    """(product_id, similar_id, rank, sim): the ``top_n`` best of each item's ordered pairs, ties by id."""
+    w = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), F.col("b"))
+    top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    return top.select(F.col("a").alias("product_id"), F.col("b").alias("similar_id"), "rank", "sim")
+
+
+# ------------------------------------------------------------------ J04
+def hyperplane_codes(weights: DataFrame, tables: int, bits: int, probes: int, seed: int) -> DataFrame:
+    """(doc, table, code, own): the code of each vector in each table, and ``probes`` others that it might have had.
+
+    A bit is the side of a random hyperplane, whose component along a term is +1 or -1 by a hash of the term.  The
+    other codes have the least certain bits flipped: those of the smallest projections, one at a time, then the two
+    smallest together."""
+    need = tables * bits
+    terms = weights.select(F.col("doc_id").alias("doc"), "weight", *[F.xxhash64("term", F.lit(seed + j)).alias(f"h{j}") for j in range(-(-need // 64))])
+    vectors = terms.groupBy("doc").agg(F.collect_list(F.struct("weight", *terms.columns[2:])).alias("v"))
+    kind = vectors.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):      # the signs of 64 vectors at a time
+                part = batch.slice(k, 64)
+                v = part.column("v").flatten()
+                at = np.r_[0, np.cumsum(pc.list_value_length(part.column("v")).to_numpy())]
+                hashes = np.stack([v.field(j).to_numpy() for j in range(1, v.type.num_fields)], 1)
+                signs = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), -1), axis=1, count=need).astype(np.float32) * 2 - 1
+                side = np.add.reduceat(signs * v.field(0).to_numpy().astype(np.float32)[:, None], at[:-1], axis=0).reshape(part.num_rows, tables, bits)
+                code = ((side > 0) * (1 << np.arange(bits))).sum(2)
+                unsure = np.argsort(np.abs(side), axis=2, kind="stable")
+                flips = [np.zeros_like(code)] + [1 << unsure[:, :, j] for j in range(min(probes, bits))]
+                if probes and bits > 1:
+                    flips.append((1 << unsure[:, :, 0]) | (1 << unsure[:, :, 1]))
+                codes = np.stack([code ^ f for f in flips], 2)
+                n, _, m = codes.shape
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(np.repeat(np.arange(n), tables * m))), pa.array(np.tile(np.repeat(np.arange(tables), m), n).astype(np.int32)),
+                                                  pa.array(codes.ravel().astype(np.int32)), pa.array(np.tile(np.arange(m) == 0, n * tables))], ["doc", "table", "code", "own"])
+
+    return vectors.mapInArrow(run, f"doc {kind}, table int, code int, own boolean")
+
+
+def lsh_pairs(weights: DataFrame, threshold: float = 0.20, tables: int = 24, bits: int = 12, probes: int = 6, seed: int = 42) -> DataFrame:
+    """Ordered pairs (a, b, sim) with cosine >= ``threshold`` that share a bucket in one of ``tables`` hyperplane tables.
+
+    A vector lies in the bucket of its own code and looks into those of its probes.  Two vectors at angle x agree on
+    a bit with probability 1 - x / pi, so near ones are found almost surely and those near a low threshold
+    less so; ``bits`` grows with log2 of the number of items to keep buckets small, ``tables`` and ``probes`` buy recall.
+    Candidates are scored exactly, none is cut."""
+    weights = cut_lineage(weights)
+    codes = cut_lineage(hyperplane_codes(weights, tables, bits, probes, seed))
+    own = codes.where("own").select(F.col("doc").alias("b"), "table", "code")
+    met = codes.select(F.col("doc").alias("a"), "table", "code").join(own, ["table", "code"]).where("a != b")
+    cand = cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return both_ways(dot_products(cand, weights).where(F.col("sim") >= threshold), "sim")
 
 
 # ------------------------------------------------------------------ J05
@@ -418,6 +475,24 @@ def matrix_density(pairs: DataFrame, n_items: DataFrame, threshold: float = 0.20
     return c.crossJoin(n_items).withColumn("density_pct", 100.0 * F.col("nnz") / (F.col("n_items") * F.col("n_items")))
 
 
+def density_before_threshold(weights: DataFrame, items: DataFrame, id_col: str = "product_id", rows: int = 300) -> DataFrame:
+    """(n_sampled, density_pct, error_pct): the estimated share of non-zero similarities of different items in the whole matrix.
+
+    About ``rows`` items are drawn by a hash of their ids, and for each all items are counted that share a term with
+    it: whole rows of the matrix, so its cost is that many rows, not their square.  ``error_pct`` is the
+    standard error, with the correction for a finite matrix; no error if all items are drawn."""
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    ids = items.select(F.col(id_col).alias("a")).crossJoin(F.broadcast(n))
+    drawn = ids.where(md5_mod(F.col("a").cast("string"), DRAWS) < F.least(F.lit(1.0), F.lit(float(rows)) / F.col("n")) * DRAWS).select("a")
+    of_a = weights.select(F.col("doc_id").alias("a"), "term").join(drawn, "a")
+    met = of_a.join(weights.select(F.col("doc_id").alias("b"), "term"), "term").where("a != b").select("a", "b").distinct()
+    each = drawn.join(met.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "a", "left").fillna(0, ["k"])
+    s = each.agg(F.count(F.lit(1)).alias("m"), F.avg("k").alias("k"), F.stddev_samp("k").alias("sd")).crossJoin(n)
+    left = F.greatest(F.lit(0.0), 1 - F.col("m") / F.col("n"))
+    return s.select(F.col("m").alias("n_sampled"), (100.0 * F.col("k") / F.col("n")).alias("density_pct"),
+                    (100.0 * F.coalesce("sd", F.lit(0.0)) / F.sqrt("m") / F.col("n") * F.sqrt(left)).alias("error_pct"))
+
+
 # ------------------------------------------------------------------ J12
 def packed_vectors(df: DataFrame, id_col: str, vec: str, block: int) -> DataFrame:
     """(ids, vectors): blocks of at most ``block`` unit vectors, as one matrix of doubles each; null vectors are left out, zeros stay zero."""

@@ -28,9 +28,7 @@ def q_train_text_classifier(spark, sf_dir):
     data = labelled_docs(spark, sf_dir)
     model = ml.train_text_classifier(data.where("split = 'train'"), "text", "quality")
     pred = model.transform(data.where("split = 'test'"))
-    labels = model.stages[0].labels
-    return pred.select("doc_id", "quality", F.element_at(F.array(*[F.lit(x) for x in labels]),
-                                                         (F.col("prediction") + 1).cast("int")).alias("predicted"))
+    return pred.select("doc_id", "quality", "predicted")
 
 
 @register("train_linear_svm", sql=None)
@@ -38,9 +36,17 @@ def q_train_linear_svm(spark, sf_dir):
     data = labelled_docs(spark, sf_dir)
     model = ml.train_linear_svm(data.where("split = 'train'"), "text", "quality")
     pred = model.transform(data.where("split = 'test'"))
-    labels = model.stages[0].labels
-    return pred.select("doc_id", "quality", F.element_at(F.array(*[F.lit(x) for x in labels]),
-                                                         (F.col("prediction") + 1).cast("int")).alias("predicted"))
+    return ml.margin_confidence(pred).select("doc_id", "quality", "predicted", F.round("confidence", 6).alias("confidence"))
+
+
+@register("skin_hybrid_model", sql=None)
+def q_skin_hybrid_model(spark, sf_dir):
+    """H08 fed by I02: a linear SVM, trained on the term votes of four documents in five, gives class and confidence for all."""
+    docs = ta.term_vote(b.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    model = ml.train_linear_svm(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) > 0), "text", "skin_type", max_iter=20)
+    pred = ml.margin_confidence(model.transform(docs.select("doc_id", "text")), out="ml_conf").withColumnRenamed("predicted", "ml_pred")
+    out = ta.skin_hybrid(pred.select("doc_id", "text", "ml_pred", "ml_conf"), "text")
+    return out.select("doc_id", "ml_pred", F.round("ml_conf", 6).alias("ml_conf"), "skin_type", "skin_confidence")
 
 
 @register("tune", sql=None)
@@ -69,7 +75,7 @@ def feature_table(spark, sf_dir):
     return ts.forecast_feature_table(dense(spark, sf_dir), prods), prods
 
 
-def fit_rf(spark, sf_dir, trees: int = 50, depth: int = 8):
+def fit_rf(spark, sf_dir, trees: int = 200, depth: int = 10):
     table, prods = feature_table(spark, sf_dir)
     train = ts.chronological_split(table).where("split = 'train'")
     model, asm, imps = ml.train_demand_rf(train, trees=trees, depth=depth)
@@ -90,16 +96,12 @@ def recursive_frame(spark, sf_dir, steps: int = 7):
     last = (d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 12)
              .groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("week_end", "units"))).alias("_s"))
              .select("product_id", F.transform("_s", lambda s: s["units"]).alias("history")))
-    # calendar features of the forecast origin and the product's own static features,
-    # in the same columns the model was trained on
+    # the product's own features, in the same columns the model was trained on
     static = prods.select("product_id", (F.col("price") / 10000.0).alias("price_scaled"),
-                          hash_unit(F.col("product_id"), 1000).alias("product_hash"), "category_code",
-                          F.lit(b.AS_OF.month).alias("month"),
-                          F.weekofyear(F.lit(b.AS_OF)).alias("week_of_year"), F.quarter(F.lit(b.AS_OF)).alias("quarter"),
-                          (F.quarter(F.lit(b.AS_OF)) == 4).cast("int").alias("is_holiday_season"))
+                          hash_unit(F.col("product_id"), 1000).alias("product_hash"), "category_code")
     hist = last.join(static, "product_id")
-    names = ["price_scaled", "product_hash", "category_code", "month", "week_of_year", "quarter", "is_holiday_season"]
-    return ml.forecast_recursive(hist, model, static=names, steps=steps)
+    names = ["price_scaled", "product_hash", "category_code"]
+    return ml.forecast_recursive(hist, model, static=names, origin=b.AS_OF, steps=steps)
 
 
 @register("forecast_recursive", sql=None)

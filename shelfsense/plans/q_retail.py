@@ -3,7 +3,6 @@ and ML-ready masters, LSH similarity (SURVEY G03-G06, G08, G09, G16, G18, J04)."
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.sql import functions as F
 
 from .. import binding as b
@@ -12,7 +11,6 @@ from ..operators import aggregates as ag
 from ..operators import listing as ls
 from ..operators import rules, safety
 from ..operators import similarity as sim
-from ..operators import text_analytics as ta
 from ..operators import timeseries as ts
 from ..operators.ordering import dense_codes
 from . import q_flagship
@@ -198,22 +196,8 @@ def q_ml_ready_master(spark, sf_dir):
 # ------------------------------------------------------------------ J04
 @register("similar_lsh", sql=None)
 def q_similar_lsh(spark, sf_dir):
-    """Approximate candidates from MinHash LSH over each product's term set, then
-    exact cosine rescoring on the TF-IDF vectors and the 0.2 threshold."""
+    """Approximate J03: candidates of random-hyperplane tables, exact cosine, threshold, top 5."""
     from .q_similarity import weights_frame
     w, _ = weights_frame(spark, sf_dir)
-    sets = w.groupBy("doc_id").agg(F.collect_list("term").alias("terms"))  # one vocabulary-bounded set per item
-    feats = HashingTF(inputCol="terms", outputCol="features", numFeatures=1 << 18, binary=True).transform(sets)
-    feats = feats.where(F.size("terms") > 0)
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=5, seed=42).fit(feats)
-    cand = (model.approxSimilarityJoin(feats, feats, 0.9, distCol="jaccard_dist")
-                 .select(F.col("datasetA.doc_id").alias("a"), F.col("datasetB.doc_id").alias("b"))
-                 .where(F.col("a") < F.col("b")))
-    sims = sim.dot_products(cand, w).where(F.col("sim") >= 0.2)
-    both = sims.unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    top = ls.top_per_group(both, "a", [F.desc(F.round("sim", 9)), F.col("b")], 5)
-    return top.select(F.col("a").alias("product_id"), F.col("b").alias("similar_id"), "rank",
-                      F.round("sim", 6).alias("sim"))
-
-
-_ = ta
+    top = sim.top_neighbours(sim.lsh_pairs(w), 5)
+    return top.select("product_id", "similar_id", "rank", F.round("sim", 6).alias("sim"))

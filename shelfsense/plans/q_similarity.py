@@ -13,7 +13,7 @@ from ..session import cut_lineage
 from .q_flagship import ANALYSIS_SQL, analysis_frame
 from .q_safety import HIT_TERMS
 from .registry import register
-from .sqlgen import q
+from .sqlgen import md5_mod_sql, q
 
 STOP_SQL = "[" + ", ".join(q(w) for w in L.STOPWORDS) + "]"
 TOK_SQL = ("list_filter(regexp_extract_all(lower(coalesce({x}, '')), '([\\p{{L}}\\p{{N}}_]{{2,}})', 1), "
@@ -115,6 +115,20 @@ def q_matrix_density(spark, sf_dir):
     return d.withColumn("density_pct", F.round("density_pct", 6))
 
 
+@register("matrix_density_before", sql=b.with_ctes(TFIDF_SQL) + f""",
+n AS (SELECT count(*) AS n FROM products),
+drawn AS (SELECT product_id AS a FROM products, n WHERE {md5_mod_sql("CAST(product_id AS VARCHAR)", sim.DRAWS)} < least(1.0, CAST(300.0 AS DOUBLE) / n) * {sim.DRAWS}),
+met AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM wt x JOIN drawn ON drawn.a = x.doc_id JOIN wt y ON y.term = x.term AND y.doc_id <> x.doc_id),
+ks AS (SELECT drawn.a, count(met.b) AS k FROM drawn LEFT JOIN met USING (a) GROUP BY drawn.a),
+s AS (SELECT count(*) AS m, avg(k) AS k, coalesce(stddev_samp(k), 0.0) AS sd FROM ks)
+SELECT m AS n_sampled, round(100.0 * k / n, 6) AS density_pct, round(100.0 * sd / sqrt(m) / n * sqrt(greatest(0.0, 1 - m / n)), 6) AS error_pct
+FROM s, n""")
+def q_matrix_density_before(spark, sf_dir):
+    w, _ = weights_frame(spark, sf_dir)
+    d = sim.density_before_threshold(w, b.products(spark, sf_dir))
+    return d.select("n_sampled", F.round("density_pct", 6).alias("density_pct"), F.round("error_pct", 6).alias("error_pct"))
+
+
 QUERY_TFIDF_SQL = TFIDF_SQL + """,
 qtoks AS (
   SELECT doc_id, t || [t[i] || ' ' || t[i + 1] for i in range(1, len(t))] AS terms FROM (

@@ -12,7 +12,6 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from .. import binding as b
-from ..functions import text as tx
 from ..sources import io
 from .registry import register
 from .sqlgen import md5_mod_sql
@@ -193,5 +192,3 @@ def q_tenant_reset(spark, sf_dir):
     s = b.sales(spark, sf_dir)
     return io.tenant_reset(s, 1).select("order_id", "line_no", "dealer_id")
 
-
-_ = tx  # column helpers used by the writers above

@@ -8,14 +8,15 @@ cluster's shared checkpoint folder, never a machine-local temp folder.
 
 from __future__ import annotations
 
+import csv
 import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..operators import cleaning as cl
 from ..session import ensure_checkpoint_dir
 
 
@@ -47,20 +48,44 @@ def read_csv_tolerant(spark: SparkSession, path: str, encodings: Sequence[str] =
 
 
 # ------------------------------------------------------------------ A02
+def first_lines(spark: SparkSession, files: Sequence[str]) -> list[tuple[str, str]]:
+    """(file, first line) of every file that has one, read by one job; a byte order mark is left out."""
+    lines = spark.read.text(list(files)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    first = lines.where("at = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("line"))
+    return sorted((r["file"], r["line"].lstrip("\ufeff")) for r in first.collect())      # one short row per file, as many as the caller names
+
+
+def column_names(header: Sequence[str]) -> tuple[str, ...]:
+    """Normalised names of a header line; a name that comes again gets a number."""
+    names: list[str] = []
+    for name in map(tx.normalise_header, header):
+        k, own = 2, name or "column"
+        while own in names:
+            own, k = f"{name or 'column'}_{k}", k + 1
+        names.append(own)
+    return tuple(names)
+
+
 def read_folder(spark: SparkSession, files: Sequence[str], file_col: str = "source_file") -> DataFrame:
     """Every CSV file: headers normalised, rows tagged with the file name, union by
-    name (missing columns NULL), exact duplicates (ignoring the file tag) dropped."""
-    parts = []
-    for f in files:
-        df = spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(f)
-        df = cl.normalise_headers(df)
-        parts.append(df.withColumn(file_col, F.input_file_name()))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    data_cols = [c for c in out.columns if c != file_col]
-    w = Window.partitionBy(*data_cols).orderBy(file_col)
-    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    name (missing columns NULL), exact duplicates (ignoring the file tag) dropped, the first file's tag kept.
+
+    Files whose normalised headers are the same are read by one reader, whatever their number, so the plan grows with
+    the kinds of headers, not with the files.  Malformed lines are dropped; empty files give nothing."""
+    kinds: dict[tuple[str, ...], list[str]] = {}
+    for file, line in first_lines(spark, files):
+        names = next(csv.reader([line]), [])
+        kinds.setdefault(column_names(names), []).append(file)
+    out = None
+    for names, group in sorted(kinds.items()):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        part = (spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(group)
+                     .select(*[F.col(f"`{n}`") for n in names], F.col("_metadata.file_path").alias(file_col)))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], f"{file_col} string")
+    data = [c for c in out.columns if c != file_col]
+    return out.groupBy(*data).agg(F.min(file_col).alias(file_col))
 
 
 def list_csv_files(spark: SparkSession, folder: str) -> list[str]:

@@ -30,6 +30,35 @@ def test_cosine_symmetric_and_bounded(spark):
         assert s <= 1 + 1e-9 and pairs[(y, x)] == pytest.approx(s)
 
 
+def test_density_estimate_is_near_the_exact_one(spark):
+    from shelfsense import binding as b
+    from shelfsense.plans.q_similarity import corpus_frame
+    w, _ = sim.tfidf(corpus_frame(spark, SMOKE), "product_id", "corpus")
+    items = b.products(spark, SMOKE)
+    exact = sim.density_before_threshold(w, items, rows=10**6).first()
+    assert exact["n_sampled"] == items.count() and exact["error_pct"] == 0
+    some = sim.density_before_threshold(w, items, rows=60).first()
+    assert 30 < some["n_sampled"] < 100 and abs(some["density_pct"] - exact["density_pct"]) <= 4 * some["error_pct"]
+
+
+def test_frequent_terms_in_blocks_and_rising_thresholds(spark, monkeypatch):
+    """Small blocks: every term is cut; with top_n the best of each item stay the same."""
+    from shelfsense.plans.q_similarity import corpus_frame
+    w, _ = sim.tfidf(corpus_frame(spark, SMOKE), "product_id", "corpus")
+    best = lambda p: {(r["product_id"], r["similar_id"], r["rank"]) for r in sim.top_neighbours(p, 2).collect()}
+    want, pairs = best(sim.similar_pairs(w, 0.2)), {(r.a, r.b) for r in sim.similar_pairs(w, 0.2).collect()}
+    monkeypatch.setattr(sim, "BLOCK", 4)
+    assert {(r.a, r.b) for r in sim.similar_pairs(w, 0.2).collect()} == pairs
+    assert best(sim.similar_pairs(w, 0.2, top_n=2)) == want and len(want) > 100
+
+
+def test_hyperplane_tables_find_most_pairs(spark):
+    from shelfsense.plans.q_similarity import corpus_frame
+    w, _ = sim.tfidf(corpus_frame(spark, SMOKE), "product_id", "corpus")
+    exact, got = ({(r.a, r.b) for r in p.collect()} for p in (sim.similar_pairs(w, 0.2), sim.lsh_pairs(w, 0.2)))
+    assert got <= exact and len(got) >= 0.9 * len(exact)
+
+
 def test_global_index_matches_sorted_order(spark):
     df = spark.range(0, 5000).withColumn("k", (F.col("id") * 7919) % 5003).repartition(7)
     idx = global_index(df, [F.col("k"), F.col("id")], "i")

@@ -3,7 +3,6 @@ import datetime as dt
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from shelfsense.streaming import jobs
 
