@@ -55,9 +55,9 @@ class Params:
     per_class: int = 32
     hidden: int = 16
     window: int = 16          # steps of back-propagation
-    lanes: int = 128          # texts trained side by side
-    score_lanes: int = 256
-    rate: float = 0.004
+    lanes: int = 256          # texts trained side by side
+    score_lanes: int = 1024
+    rate: float = 0.005
     texts_at_once: int = 1 << 22   # words arranged into lanes together
 
 
