@@ -75,7 +75,7 @@ def feature_table(spark, sf_dir):
     return ts.forecast_feature_table(dense(spark, sf_dir), prods), prods
 
 
-def fit_rf(spark, sf_dir, trees: int = 200, depth: int = 10):
+def fit_rf(spark, sf_dir, trees: int = 200, depth: int = 8):
     table, prods = feature_table(spark, sf_dir)
     train = ts.chronological_split(table).where("split = 'train'")
     model, asm, imps = ml.train_demand_rf(train, trees=trees, depth=depth)
