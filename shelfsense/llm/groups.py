@@ -30,6 +30,14 @@ TASK_ROWS = 1 << 16
 Check = Callable[[DataFrame], DataFrame]
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, or with as many _ before it as it takes that no column of ``df`` has it (in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def none(spark: SparkSession) -> DataFrame:
     return spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
 

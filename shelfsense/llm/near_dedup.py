@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import words as W
-from .groups import linked, packed, sized
+from .groups import free_name, linked, packed, sized
 
 
 #: bits of a position that are compared inside the joins, and positions in one 64-bit lane
@@ -223,7 +223,8 @@ def representatives(docs: DataFrame, p: Params = Params()) -> DataFrame:
     all others, equal for equal texts.  Of repeated rows one stays.
     """
     own = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), own))
-    kept = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), p).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    same = Window.partitionBy("_id", F.xxhash64("text")).orderBy("_id")
-    return rows.join(kept, "_id").withColumn("_same", F.row_number().over(same)).where("_same = 1").select(*docs.columns)
+    key, place = free_name("_id", docs), free_name("_same", docs)
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), own))
+    kept = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), p).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    same = Window.partitionBy(key, F.xxhash64("text")).orderBy(key)
+    return rows.join(kept, key).withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).select(*docs.columns)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .groups import free_name
 
 
 @dataclass(frozen=True)
@@ -107,7 +108,8 @@ def of_paths(versions: DataFrame, findings: DataFrame, text: str = "text", rules
     """``versions`` with ``found``: array of (start, kind number, end), by start and then kind as listed; empty if none."""
     number = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     by_blob = cut_lineage(findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", number[F.col("rule")].alias("kind"), "end"))).alias("found")))
-    return (versions.withColumn("blob", F.sha2(content(text), 256)).join(by_blob, "blob", "left").drop("blob")
+    key = free_name("blob", versions)
+    return (versions.withColumn(key, F.sha2(content(text), 256)).join(by_blob.withColumnRenamed("blob", key), key, "left").drop(key)
                     .withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
 
 
@@ -130,7 +132,8 @@ def report(docs: DataFrame, ledger: str) -> DataFrame:
 def redact(docs: DataFrame, ledger: str, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each found span of ``text`` replaced by ``mark`` and ``n_chars`` (if there) as it then is; overlapping spans are replaced as one."""
     columns = docs.columns
-    found = of_paths(docs.withColumnRenamed("found", "_found") if "found" in columns else docs, scan(docs, ledger))
+    aside = free_name("found_before", docs)      # a column found of the caller
+    found = of_paths(docs.withColumnRenamed("found", aside) if "found" in columns else docs, scan(docs, ledger))
     # from the front: what is kept so far, and the end of the last span
     start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("end"))
     step = lambda s, x: F.when(x["start"] >= s["end"], F.struct(
@@ -141,4 +144,4 @@ def redact(docs: DataFrame, ledger: str, mark: str = "[secret]") -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         found = found.withColumn("n_chars", F.when(F.size("found") > 0, F.length(done).cast(kind)).otherwise(F.col("n_chars")))
     out = found.withColumn("text", F.when(F.size("found") > 0, done).otherwise(F.col("text"))).drop("found")
-    return out.withColumnRenamed("_found", "found").select(*columns) if "found" in columns else out.select(*columns)
+    return out.withColumnRenamed(aside, "found").select(*columns) if "found" in columns else out.select(*columns)

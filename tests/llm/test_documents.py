@@ -74,6 +74,17 @@ def test_near_duplicates_odd(odd, none):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 4, 5, 6, 7, 8, 9, 11, 12]
 
 
+def test_columns_named_like_the_operators_own(odd, tmp_path):
+    """A caller's columns with names that stages use themselves come back unchanged."""
+    names = ["blob", "found", "found_before", "_id", "_same", "__ID", "root"]
+    rows = odd.where("doc_id in (1, 3, 12)").select("doc_id", "text", "n_chars").withColumns({c: F.lit(f"{c} of the caller") for c in names})
+    hidden = secret_scan.redact(rows, str(tmp_path / "l")).collect()
+    assert len(hidden) == 3 and all(r[c] == f"{c} of the caller" for r in hidden for c in names)
+    assert {r["doc_id"]: r["text"].count("[secret]") for r in hidden} == {1: 0, 3: 0, 12: 3}
+    kept = near_dedup.representatives(rows).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 12] and all(r[c] == f"{c} of the caller" for r in kept for c in names)
+
+
 def test_hamming_keys_find_all_pairs(spark):
     """Signatures with up to max_errors different positions always share a key."""
     import random
