@@ -96,7 +96,7 @@ SELECT dealer_id, product_id, CAST(i AS INTEGER) AS step,
 FROM e""")
 def q_confidence_band(spark, sf_dir):
     r = rules.confidence_band(retail_frame(spark, sf_dir))
-    e = r.select("dealer_id", "product_id", F.posexplode("confidence_band").alias("step", "band"))
+    e = ts.explode_series(r, ["dealer_id", "product_id"], "confidence_band", "step", "band")
     return e.select("dealer_id", "product_id", "step", F.round("band.lo", 6).alias("lo"),
                     F.round("band.hi", 6).alias("hi"))
 
