@@ -18,7 +18,7 @@ def brute(w):
         same = np.r_[False, code[q:] == code[:-q], False].astype(int)
         for i, j in zip(np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1)):
             if j + q - i >= max(6, 4 * q):
-                out.setdefault((int(i), int(j) + q), q)
+                out.setdefault((int(i), int(j) + q - int(i)), q)
     return sorted((s, length, q) for (s, length), q in out.items())
 
 
